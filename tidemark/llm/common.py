@@ -27,6 +27,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ranked(df: DataFrame, order: list, name: str = "_rank") -> tuple[DataFrame, int]:
+    """``df`` with a gapless 0-based global rank by ``order``, and the number of rows.
+
+    Ranges are sorted in parallel and numbered from the counts of the ranges before
+    them; no task holds more than its range.  Pass narrow rows: they are
+    materialised in the checkpoint folder.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = checkpointed(placed.withColumns({"_part": F.spark_partition_id(), "_at": at}))
+    # one row a partition: as small as the list of tasks, which the driver holds anyway
+    starts, total = [], 0
+    for row in sorted(placed.groupBy("_part").count().collect()):
+        starts.append((row["_part"], total))
+        total += row["count"]
+    offsets = df.sparkSession.createDataFrame(starts, "_part int, _start long")
+    out = placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_start") + F.col("_at"))
+    return out.drop("_part", "_at", "_start"), total
+
+
 def fold(column, divisor: int):
     """crc32(column as text) mod ``divisor``; null ids fall into fold 0."""
     return F.coalesce(F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(divisor)), F.lit(0))
@@ -55,6 +76,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train, per_
     return [t for _, t in distinct], [y for y, _ in distinct], share
 
 
+ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def ascii_words(text):
+    """Words of a text column: runs of digits, ASCII letters (made lower case) and all
+    characters beyond ASCII; an empty array for null."""
+    lower = F.translate(F.coalesce(text, F.lit("")), ASCII_UPPER, ASCII_UPPER.lower())
+    return F.regexp_extract_all(lower, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+
+
 def tokenizer_file(name: str, folder: str | None = None) -> str:
     """Place of a public vocabulary file; ``folder`` overrides the installed package."""
     if folder:

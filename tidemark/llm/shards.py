@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, ranked, table
 
 BITS = 6
 N_SHARDS = 24
@@ -90,30 +90,13 @@ def hilbert_shards(
             found.append(np.where(np.isnan(values), 0, np.searchsorted(edge, values, side="left")))
         return pd.Series(hilbert_index(found, bits))
 
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     order = ["curve", *tie]
-    placed = (
-        base.withColumn("curve", curve(F.struct(*numbers)))
-        .drop(*numbers)
-        .repartitionByRange(parts, *order)
-        .sortWithinPartitions(*order)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    )
-    placed = checkpointed(placed)
-    # one row a partition: as small as the list of tasks, which the driver holds anyway
-    counts = {r["_part"]: r["count"] for r in placed.groupBy("_part").count().collect()}
-    starts, total = [], 0
-    for part in sorted(counts):
-        starts.append((part, total))
-        total += counts[part]
-    offsets = df.sparkSession.createDataFrame(starts, "_part int, _start long")
-    rank = F.col("_start") + F.col("_at")
-    ranked = placed.join(F.broadcast(offsets), "_part").withColumn("_rank", rank)
-    # integer arithmetic: floor(rank * shards / total)
-    shard = F.expr(f"cast((_rank * {n_shards}) div {max(total, 1)} as int)")
-    first = F.expr(f"(shard * {max(total, 1)}L + {n_shards - 1}) div {n_shards}")
-    return ranked.withColumn("shard", shard).withColumn("slot", F.col("_rank") - first).drop("_part", "_at", "_start", "_rank")
+    placed, total = ranked(base.withColumn("curve", curve(F.struct(*numbers))).drop(*numbers), order)
+    n = max(total, 1)
+    # integer arithmetic: floor(rank * shards / n), and the first rank of a shard
+    shard = F.expr(f"cast((_rank * {n_shards}) div {n} as int)")
+    first = F.expr(f"(shard * {n}L + {n_shards - 1}) div {n_shards}")
+    return placed.withColumn("shard", shard).withColumn("slot", F.col("_rank") - first).drop("_rank")
 
 
 def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
