@@ -81,9 +81,14 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def ascii_words(text):
     """Words of a text column: runs of digits, ASCII letters (made lower case) and all
-    characters beyond ASCII; an empty array for null."""
+    characters beyond ASCII; an empty array for null.
+
+    Splitting is many times as fast as extracting matches.  Explode what is made of
+    it with explode_outer: for explode, the optimizer adds a filter on the array's
+    size below, with the split inside a lambda once for each word.
+    """
     lower = F.translate(F.coalesce(text, F.lit("")), ASCII_UPPER, ASCII_UPPER.lower())
-    return F.regexp_extract_all(lower, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    return F.array_remove(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
 def tokenizer_file(name: str, folder: str | None = None) -> str:

@@ -1,7 +1,7 @@
 """Operator 7: 128-bit SimHash fingerprints, and a search within a Hamming radius.
 
-Terms are pairs of neighbouring words (the last word pairs with the text's end),
-weighted by their longer words.  Every term votes with its weight on 128 bits;
+Terms are the distinct pairs of neighbouring words (the last word pairs with the
+text's end), weighted by how many of the two are long.  Every term votes with its weight on 128 bits;
 a bit is set when more than half the weight voted for it.  Two counters of 32
 bits share one long, so 64 sums count all votes and stay in generated code.  The
 search cuts fingerprints into blocks, keeps a table for every choice of blocks that
@@ -26,20 +26,19 @@ def vote(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Fingerprints of the rows of ``df`` by ``keys``: ``f0`` and ``f1`` long.
 
     Rows with equal keys vote together, so keys tell rows apart.  A text without
-    words, or null, has no votes and the fingerprint 0.  A term may occur 2**30
-    times in a text.
+    words, or null, has no votes and the fingerprint 0.  A text may have
+    2**30 distinct terms.
     """
     words = df.select(*keys, ascii_words(F.col(text)).alias("_words"))
 
     def term(word: Column, i: Column) -> Column:
         after = F.coalesce(F.get(F.col("_words"), i + 1), F.lit(""))
         weight = 1 + (F.length(word) > 3).cast("long") + (F.length(after) > 3).cast("long")
-        return F.struct(F.xxhash64(word, after).alias("h"), weight.alias("w"))
+        return F.xxhash64(word, after).bitwiseAND(F.lit(-4)).bitwiseOR(weight)  # the weight sits in two low bits
 
-    terms = words.select(*keys, F.explode_outer(F.transform("_words", term)).alias("_term"))
-    terms = terms.select(*keys, F.col("_term.h").alias("_h"), F.coalesce(F.col("_term.w"), F.lit(0)).alias("_w"))
-    hashes = {0: F.col("_h"), 1: F.xxhash64("_h", F.lit(1))}
-    terms = terms.select(*keys, "_w", *[h.alias(f"_h{k}") for k, h in hashes.items()])
+    terms = words.select(*keys, F.explode_outer(F.array_distinct(F.transform("_words", term))).alias("_term"))
+    hashes = {k: F.xxhash64("_term", F.lit(k)) for k in (0, 1)}
+    terms = terms.select(*keys, F.coalesce(F.col("_term").bitwiseAND(F.lit(3)), F.lit(0)).alias("_w"), *[h.alias(f"_h{k}") for k, h in hashes.items()])
     sums = [
         F.sum(F.shiftrightunsigned(f"_h{k}", j).bitwiseAND(F.lit(_PAIR)) * F.col("_w")).alias(f"_v{k}_{j}") for k in hashes for j in range(32)
     ]

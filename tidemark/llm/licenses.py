@@ -94,7 +94,7 @@ def scan_licenses(df: DataFrame, id_columns: list[str], templates: DataFrame | N
         return F.struct(i.alias("i"), F.xxhash64(word, F.coalesce(F.get(F.col("_words"), i + 1), F.lit(""))).alias("gram"))
 
     mark = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).cast("long").alias("gram")))  # keeps texts without hits
-    grams = read.select(*id_columns, "_row", "n_words", "_words", F.explode(F.concat(mark, F.transform("_words", gram))).alias("_g"))
+    grams = read.select(*id_columns, "_row", "n_words", "_words", F.explode_outer(F.concat(mark, F.transform("_words", gram))).alias("_g"))
     hits = grams.join(F.broadcast(templates), F.col("_g.gram") == F.col("gram"))
     same = (F.get(F.col("_words"), F.col("_g.i")) == F.col("a")) & (F.get(F.col("_words"), F.col("_g.i") + 1) == F.col("b"))
     hits = hits.where((F.col("_g.i") == -1) & (F.col("template") == -1) | (F.col("_g.i") >= 0) & (F.col("template") >= 0) & same)
