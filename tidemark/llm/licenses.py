@@ -66,13 +66,23 @@ MERGE, COVER, STRETCH = 4, 0.6, 1.6
 
 
 def template_table(spark: SparkSession, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
-    """One row for each voting 2-gram: (a, b, template, base, label, pos, votes, words)."""
-    rows = [("", "", -1, True, "", 0, 0, 0)]
-    for number, (base, label, text) in enumerate([(True, lab, p) for p, lab in phrases] + [(False, lab, t) for lab, t in templates]):
-        words = text.split()
-        at = [i for i in range(len(words) - 1) if base or not (words[i] in COMMON and words[i + 1] in COMMON)]
-        rows += [(words[i], words[i + 1], number, base, label, i, len(at), len(words)) for i in at]
-    return spark.createDataFrame(rows, "a string, b string, template int, base boolean, label string, pos int, votes int, words int")
+    """One row for each voting 2-gram: (a, b, template, base, label, pos, votes, words).
+
+    As many rows as the templates have words, a few hundred; a row without a
+    template (-1) meets the mark of each text."""
+    texts = [(True, label, phrase) for phrase, label in phrases] + [(False, label, text) for label, text in templates]
+    given = F.array(*[F.struct(F.lit(n).alias("template"), F.lit(b).alias("base"), F.lit(x).alias("label"), F.split(F.lit(t), " ").alias("w")) for n, (b, x, t) in enumerate(texts)])
+    rows = spark.range(1).select(F.explode(given).alias("t")).select("t.*").select("*", F.posexplode("w").alias("pos", "a"))
+    rows = rows.withColumn("b", F.get(F.col("w"), F.col("pos") + 1))
+    common = sorted(COMMON)
+    rows = rows.where(F.col("b").isNotNull() & (F.col("base") | ~(F.col("a").isin(*common) & F.col("b").isin(*common))))
+    votes = rows.groupBy("template").agg(F.count("*").cast("int").alias("votes"))
+    rows = rows.join(F.broadcast(votes), "template").select("a", "b", "template", "base", "label", "pos", "votes", F.size("w").alias("words"))
+    mark = spark.range(1).select(
+        F.lit("").alias("a"), F.lit("").alias("b"), F.lit(-1).alias("template"), F.lit(True).alias("base"), F.lit("").alias("label"),
+        F.lit(0).alias("pos"), F.lit(0).alias("votes"), F.lit(0).alias("words"),
+    )
+    return rows.unionByName(mark)
 
 
 def scan_licenses(df: DataFrame, id_columns: list[str], templates: DataFrame | None = None) -> DataFrame:
