@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, quality, toxicity
+from tidemark.llm import neardup, packing, quality, toxicity
 from tidemark.llm.common import fold, table
 
 
@@ -25,12 +25,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score_quality(docs, rules).where(F.col("predicted") == 1).select(*docs.columns)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return neardup.one_of_each(docs).select(*docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences."""
     return packing.digest(packing.pack(docs))
 
 
-STAGES = [("toxicity", drop_toxic), ("quality", keep_quality), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("quality", keep_quality), ("near_duplicates", drop_near_duplicates), ("packing", pack)]
 
 #: A model, a sketch and a tokenizer stand between documents and rows: SQL can't express them.
 ORACLE_SQL = None

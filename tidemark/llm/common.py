@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -38,12 +39,10 @@ def ranked(df: DataFrame, order: list, name: str = "_rank") -> tuple[DataFrame,
     placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = checkpointed(placed.withColumns({"_part": F.spark_partition_id(), "_at": at}))
-    # one row a partition: as small as the list of tasks, which the driver holds anyway
-    starts, total = [], 0
-    for row in sorted(placed.groupBy("_part").count().collect()):
-        starts.append((row["_part"], total))
-        total += row["count"]
-    offsets = df.sparkSession.createDataFrame(starts, "_part int, _start long")
+    counts = placed.groupBy("_part").count()  # one row a partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    total = counts.agg(F.sum("count")).first()[0] or 0
     out = placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_start") + F.col("_at"))
     return out.drop("_part", "_at", "_start"), total
 
@@ -70,7 +69,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train, per_
     picked = [tuple(r) for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class).collect()]
     if not picked:
         return [], [], None
-    chosen = F.broadcast(docs.sparkSession.createDataFrame(picked, "doc_id long, y int"))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(pd.DataFrame(picked, columns=["doc_id", "y"]), "doc_id long, y int"))
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").where(F.col("text").isNotNull()).collect()
     distinct = sorted({(r["y"], r["text"]) for r in rows})
     return [t for _, t in distinct], [y for y, _ in distinct], share
