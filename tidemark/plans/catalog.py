@@ -1,7 +1,414 @@
-"""Registered queries."""
-QUERIES = {}
-ORACLE_SQL = {}
+"""Registered queries: the operators over the driver's tables, with their SQL."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import scalar as S
+from tidemark.operators import graph, grouping, incremental, matching, ranking
+from tidemark.operators import statistics as st
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@_query("""SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderdate <= TIMESTAMP '1998-06-30 00:00:00'
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END, o_orderdate DESC, o_orderkey DESC) = 1""")
+def asof_latest_order(spark, sf_dir):
+    """JN2, JN3, WN3: the latest order before a date, finished ones first."""
+    rows = _t(spark, sf_dir, "orders").where(F.col("o_orderdate") <= F.lit("1998-06-30").cast("timestamp"))
+    order = [F.when(F.col("o_orderstatus") == "F", 0).otherwise(1), F.desc("o_orderdate"), F.desc("o_orderkey")]
+    return ranking.best_per_key(rows, ["o_custkey"], order).select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("day"))
+
+
+@_query("""WITH p AS (SELECT DISTINCT o_custkey, date_trunc('year', o_orderdate) AS y FROM orders)
+SELECT p.o_custkey, CAST(p.y AS DATE) AS cutoff, o.o_orderkey FROM p LEFT JOIN orders o ON o.o_custkey = p.o_custkey AND o.o_orderdate <= p.y
+QUALIFY row_number() OVER (PARTITION BY p.o_custkey, p.y ORDER BY o.o_orderdate DESC, o.o_orderkey DESC) = 1""")
+def asof_join_by_year(spark, sf_dir):
+    """JN2: for every customer and year the last order at its start, if any."""
+    orders = _t(spark, sf_dir, "orders")
+    dates = orders.select("o_custkey", F.date_trunc("year", "o_orderdate").alias("cutoff")).distinct()
+    out = matching.as_of(dates, orders.select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], "o_orderdate", "cutoff", [F.desc("o_orderdate"), F.desc("o_orderkey")])
+    return out.select("o_custkey", F.to_date("cutoff").alias("cutoff"), "o_orderkey")
+
+
+_SNAPSHOTS = """WITH o AS (SELECT l_partkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01' GROUP BY 1),
+n AS (SELECT l_partkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' GROUP BY 1)
+"""
+
+
+@_query(_SNAPSHOTS + """SELECT coalesce(o.l_partkey, n.l_partkey) AS l_partkey, o.q AS old_q, n.q AS new_q,
+CASE WHEN o.l_partkey IS NULL THEN 'added' WHEN n.l_partkey IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM o FULL OUTER JOIN n ON o.l_partkey = n.l_partkey WHERE o.q IS DISTINCT FROM n.q""")
+def snapshot_diff_parts(spark, sf_dir):
+    """JN1: parts added, removed or changed between two periods."""
+    items = _t(spark, sf_dir, "lineitem")
+    day = lambda d: F.lit(d).cast("timestamp")
+    total = lambda df: df.groupBy("l_partkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("q"))
+    old = total(items.where(F.col("l_shipdate") < day("1996-01-01")))
+    new = total(items.where((F.col("l_shipdate") >= day("1996-01-01")) & (F.col("l_shipdate") < day("1997-01-01"))))
+    return matching.snapshot_diff(old, new, ["l_partkey"], ["q"])
+
+
+@_query("""SELECT p_brand, p_type, n.p_partkey, n.p_name, occurrences FROM (SELECT p_brand, p_type, min({'l': length(p_name), 'p_name': p_name, 'p_partkey': p_partkey}) AS n, count(*) AS occurrences FROM part GROUP BY 1, 2)""")
+def group_representative(spark, sf_dir):
+    """AG1: one part for each brand and type, the shortest name first."""
+    parts = _t(spark, sf_dir, "part").withColumn("l", F.length("p_name"))
+    return grouping.representative(parts, ["p_brand", "p_type"], ["l", "p_name", "p_partkey"], ["p_partkey", "p_name"])
+
+
+@_query("""WITH d AS (SELECT doc_id, md5(lower(text)) AS k FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY k) AS n FROM d)
+SELECT k, CAST(min(doc_id) AS VARCHAR) AS path, max(n) AS occurrences, array_to_string(list(CAST(doc_id AS VARCHAR) ORDER BY r) FILTER (WHERE r BETWEEN 2 AND 6), ',') AS also FROM r GROUP BY k""")
+def collapse_duplicates(spark, sf_dir):
+    """AG2, SO9: equal texts collapsed to the first, with the next five."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.md5(F.lower("text").cast("binary")).alias("k"), F.col("doc_id").cast("string").alias("path"))
+    out = grouping.collapse(docs, ["k"], "path", [F.asc("doc_id")])
+    return out.withColumn("also", F.when(F.size("also") > 0, F.array_join("also", ",")))
+
+
+@_query("""WITH p AS (SELECT s_nationkey, l_returnflag, count(*) AS n, bool_and(l_quantity >= 1) AS ok FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_discount > 0.09 AND l_tax < 0.01 GROUP BY 1, 2),
+t AS (SELECT *, count(*) OVER (PARTITION BY s_nationkey) AS targets FROM p) SELECT s_nationkey, l_returnflag, n, targets FROM t WHERE ok AND (n >= 3 OR n >= 2 AND targets = 1)""")
+def moved_groups_having(spark, sf_dir):
+    """AG3: pairs with three members, or two and a sole target."""
+    items = _t(spark, sf_dir, "lineitem").where("l_discount > 0.09 and l_tax < 0.01")
+    rows = items.join(_t(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return grouping.grouped_moves(rows, "s_nationkey", "l_returnflag", F.col("l_quantity") >= 1)
+
+
+@_query("""SELECT event_type, count(*) FILTER (WHERE value > 50) AS high, count(*) FILTER (WHERE value <= 50) AS low, count(*) FILTER (WHERE user_id % 2 = 0) AS even FROM events GROUP BY 1""")
+def conditional_counts(spark, sf_dir):
+    """AG4, AG5, AG8, AG16."""
+    v = F.col("value")
+    return grouping.conditional_counts(_t(spark, sf_dir, "events"), ["event_type"], {"high": v > 50, "low": v <= 50, "even": F.col("user_id") % 2 == 0})
+
+
+@_query("""SELECT p_brand, p_partkey, p_size FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size <= 10 THEN 0 ELSE 1 END, p_retailprice DESC, p_partkey) = 1""")
+def forked_pick(spark, sf_dir):
+    """AG6: the highest among the rows that match, else among all."""
+    order = [F.when(F.col("p_size") <= 10, 0).otherwise(1), F.desc("p_retailprice"), "p_partkey"]
+    return ranking.best_per_key(_t(spark, sf_dir, "part"), ["p_brand"], order).select("p_brand", "p_partkey", "p_size")
+
+
+@_query("""SELECT count(*) AS n, count(DISTINCT user_id) AS users, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types, CAST(max(ts) AS DATE) AS last_day FROM events""")
+def global_summary(spark, sf_dir):
+    """AG7."""
+    types = F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("types")
+    return _t(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), types, F.to_date(F.max("ts")).alias("last_day"))
+
+
+@_query("""WITH c AS (SELECT user_id, event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS fixed FROM events GROUP BY 1, 2)
+SELECT event_type, count(*) AS users, sum(CAST(2 * fixed > n AS BIGINT))::BIGINT AS improved FROM c GROUP BY 1""")
+def two_phase_majority(spark, sf_dir):
+    """AG10, AG11: majority by user, then a count of users."""
+    first = grouping.majority(_t(spark, sf_dir, "events"), ["user_id", "event_type"], F.col("value") > 50)
+    return first.groupBy("event_type").agg(F.count("*").alias("users"), F.count_if("majority").alias("improved"))
+
+
+@_query("""SELECT p_name, min(p_brand) AS p_brand FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) = 1""")
+def having_unique_name(spark, sf_dir):
+    """AG12, AG13."""
+    return grouping.unique_names(_t(spark, sf_dir, "part"), "p_name", "p_brand")
+
+
+@_query("""SELECT source, substr(sha256(string_agg(DISTINCT lang || '==' || CAST(doc_id % 7 AS VARCHAR), chr(10) ORDER BY lang || '==' || CAST(doc_id % 7 AS VARCHAR))), 1, 12) AS fingerprint FROM documents GROUP BY 1""")
+def fingerprint_set(spark, sf_dir):
+    """AG18, AG28."""
+    item = F.concat_ws("==", "lang", (F.col("doc_id") % 7).cast("string"))
+    return grouping.set_fingerprint(_t(spark, sf_dir, "documents"), ["source"], item)
+
+
+@_query("""SELECT l_returnflag, p_brand, CAST(sum(CAST(l_quantity AS BIGINT) * p_size) AS BIGINT) AS cost FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""")
+def weighted_cost_lookup(spark, sf_dir):
+    """AG19: cost by a price table."""
+    rows = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return rows.groupBy("l_returnflag", "p_brand").agg(F.sum(F.col("l_quantity").cast("long") * F.col("p_size")).alias("cost"))
+
+
+@_query("""WITH m AS (SELECT user_id, median(value) FILTER (WHERE event_type = 'click') AS a, median(value) FILTER (WHERE event_type = 'view') AS b FROM events GROUP BY 1)
+SELECT count(*) AS users, round(exp(avg(ln(a / b))), 6) AS ratio, round(stddev_samp(ln(a / b)), 6) AS spread FROM m WHERE a > 0 AND b > 0""")
+def geo_mean_of_median_ratio(spark, sf_dir):
+    """AG20, ST9: geometric mean of ratios of medians."""
+    med = lambda kind: F.median(F.when(F.col("event_type") == kind, F.col("value")))
+    m = _t(spark, sf_dir, "events").groupBy("user_id").agg(med("click").alias("a"), med("view").alias("b")).where("a > 0 and b > 0")
+    ratio = F.ln(F.col("a") / F.col("b"))
+    return m.agg(F.count("*").alias("users"), F.round(F.exp(F.avg(ratio)), 6).alias("ratio"), F.round(F.stddev_samp(ratio), 6).alias("spread"))
+
+
+@_query("""SELECT l_returnflag, min(l_extendedprice) AS low, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(median(l_extendedprice), 4) AS middle, round(quantile_cont(l_extendedprice, 0.75), 4) AS q3, max(l_extendedprice) AS high FROM lineitem GROUP BY 1""")
+def five_number_summary(spark, sf_dir):
+    """AG21, ST4."""
+    x = F.col("l_extendedprice")
+    q = lambda p: F.round(F.percentile(x, F.lit(p)), 4)
+    return _t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.min(x).alias("low"), q(0.25).alias("q1"), q(0.5).alias("middle"), q(0.75).alias("q3"), F.max(x).alias("high"))
+
+
+@_query("""SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 15""")
+def top15_frequencies(spark, sf_dir):
+    """AG22: the fifteen commonest."""
+    return _t(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id").limit(15)
+
+
+@_query("""SELECT conv_id, max(turn) AS turns, bool_or(length(text) > 300) AS any_long FROM conversations GROUP BY 1""")
+def session_rollup_max(spark, sf_dir):
+    """AG23."""
+    return _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turns"), F.bool_or(F.char_length("text") > 300).alias("any_long"))
+
+
+@_query("""SELECT l_returnflag, kind, CAST(sum(v) AS BIGINT) AS total FROM (SELECT l_returnflag, 'quantity' AS kind, CAST(l_quantity AS BIGINT) AS v FROM lineitem UNION ALL SELECT l_returnflag, 'lines', l_linenumber FROM lineitem UNION ALL SELECT l_returnflag, 'rows', 1 FROM lineitem) GROUP BY 1, 2""")
+def unpivot_decomposition(spark, sf_dir):
+    """AG25: totals by kind as rows; sums come before the unpivot."""
+    sums = _t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.sum(F.col("l_quantity").cast("long")).alias("quantity"), F.sum("l_linenumber").alias("lines"), F.count("*").alias("rows"))
+    return sums.unpivot(["l_returnflag"], ["quantity", "lines", "rows"], "kind", "total")
+
+
+@_query("""SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) = (SELECT count(DISTINCT o_orderstatus) FROM orders)""")
+def relational_division(spark, sf_dir):
+    """AG29: customers with orders in every status."""
+    orders = _t(spark, sf_dir, "orders")
+    return grouping.divide(orders, "o_custkey", orders, ["o_orderstatus"])
+
+
+_TURNS = "SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS turn FROM events"
+
+
+@_query(f"""SELECT event_id, event_type, CAST(turn AS INTEGER) AS turn FROM ({_TURNS}) ORDER BY turn, event_type LIMIT 40""")
+def round_robin_budget(spark, sf_dir):
+    """WN1, WN2: events taken in turns from each type."""
+    out = ranking.round_robin(_t(spark, sf_dir, "events"), "event_type", [F.desc("value"), "event_id"], [F.asc("event_type")], 40)
+    return out.select("event_id", "event_type", "turn")
+
+
+@_query("""SELECT l_suppkey, l_orderkey, l_linenumber, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem) WHERE rank <= 5""")
+def top_n_per_group(spark, sf_dir):
+    """WN6."""
+    out = ranking.top_n(_t(spark, sf_dir, "lineitem"), ["l_suppkey"], [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"], 5)
+    return out.select("l_suppkey", "l_orderkey", "l_linenumber", "rank")
+
+
+@_query("""SELECT p_partkey, p_size, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0 AS r FROM part""".replace("/ 2.0 AS r", "/ CAST(2 AS DOUBLE) AS r"))
+def fractional_ranks(spark, sf_dir):
+    """WN7: average ranks with ties, from value frequencies."""
+    return ranking.fractional_rank(_t(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size", name="r").withColumn("r", F.col("r").cast("double"))
+
+
+@_query("""WITH r AS (SELECT p_partkey, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / CAST(2 AS DOUBLE) AS a, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / CAST(2 AS DOUBLE) AS b FROM part) SELECT round(corr(a, b), 6) AS rho FROM r""")
+def spearman(spark, sf_dir):
+    """ST7."""
+    parts = _t(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    both = ranking.fractional_rank(ranking.fractional_rank(parts, "p_size", name="a"), "p_retailprice", name="b")
+    return both.agg(F.round(F.corr("a", "b"), 6).alias("rho"))
+
+
+@_query("""WITH p AS (SELECT user_id, 1.0::DOUBLE / (1 + count(*) FILTER (WHERE value > 50)) AS p FROM events GROUP BY 1), s AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p, user_id) + 1) * p AS step FROM p)
+SELECT user_id, round(least(1.0, max(step) OVER (ORDER BY p, user_id ROWS UNBOUNDED PRECEDING)), 9) AS p_holm FROM s""")
+def holm_adjust(spark, sf_dir):
+    """WN8."""
+    p = _t(spark, sf_dir, "events").groupBy("user_id").agg((1.0 / (1 + F.count_if(F.col("value") > 50))).alias("p"))
+    keyed = p.withColumn("o", F.struct("p", "user_id"))
+    w = ranking.Window.orderBy("o")
+    step = (F.count("*").over(ranking.Window.partitionBy()) - F.row_number().over(w) + 1) * F.col("p")
+    out = keyed.withColumn("step", step)
+    return out.select("user_id", F.round(F.least(F.lit(1.0), F.max("step").over(w.rowsBetween(ranking.Window.unboundedPreceding, 0))), 9).alias("p_holm"))
+
+
+@_query("""SELECT p_partkey, round(10 - 1.5 * (p_size % 6) + 3 * (p_partkey % 3) + CAST(p_brand LIKE '%1' AS INTEGER) * 2 + greatest(0, 3 - 0.75 * (length(p_type) - length(replace(p_type, '.', '')))) + least(2, log2(p_size + 1) - 1) + 1 - 4 * CAST(p_size > 45 AS INTEGER), 6)::DOUBLE AS score FROM part ORDER BY score DESC, p_partkey LIMIT 100""")
+def composite_score_order(spark, sf_dir):
+    """SL1, SL2, SL3: the weighted score, then the id."""
+    size = F.col("p_size")
+    score = ranking.change_score(size % 6, F.col("p_partkey") % 3, F.col("p_brand").like("%1"), F.col("p_type"), size, F.lit(True), F.lit(False), size > 45, F.lit(0.0), F.lit(False))
+    return _t(spark, sf_dir, "part").select("p_partkey", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "p_partkey").limit(100)
+
+
+@_query("""WITH e AS (SELECT p_brand, p_partkey, p_size, p_retailprice, sum(p_size) OVER (PARTITION BY p_brand) AS total, coalesce(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM part)
+SELECT p_brand, p_partkey, CAST(freed AS BIGINT) AS freed FROM e WHERE total - freed > 500""")
+def lru_evict(spark, sf_dir):
+    """SL8, IN5: oldest entries until the rest fits."""
+    parts = _t(spark, sf_dir, "part").withColumn("p_size", F.col("p_size").cast("long"))
+    return ranking.lru_evict(parts, "p_size", "p_retailprice", 500, "p_partkey", keys=["p_brand"]).select("p_brand", "p_partkey", "freed")
+
+
+@_query("""SELECT doc_id FROM documents ORDER BY sha256('s' || CAST(doc_id AS VARCHAR)) LIMIT 50""")
+def hash_sample(spark, sf_dir):
+    """SL10, SL11, SL12: a stable sample (the limit is the operator)."""
+    return ranking.hash_sample(_t(spark, sf_dir, "documents").select("doc_id"), "doc_id", 50, "s")
+
+
+@_query("""SELECT DISTINCT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01' AND l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_returnflag = 'R'""")
+def except_requirements(spark, sf_dir):
+    """SO1, SO5: dropped between two sets."""
+    items = _t(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    day = lambda d: F.lit(d).cast("timestamp")
+    return items.where(F.col("l_shipdate") < day("1996-01-01")).select("l_partkey").subtract(items.where(F.col("l_shipdate") >= day("1998-01-01")).select("l_partkey"))
+
+
+@_query("""WITH m AS (SELECT DISTINCT s_nationkey AS k, CAST(floor(s_acctbal / 1000) AS BIGINT) AS v FROM supplier), z AS (SELECT k, count(*) AS n FROM m GROUP BY 1), s AS (SELECT a.k, b.k AS other, count(*) AS kept FROM m a JOIN m b ON a.v = b.v AND a.k <> b.k GROUP BY 1, 2)
+SELECT k, other, kept, n FROM s JOIN z USING (k) WHERE kept >= 0.5 * n""")
+def overlap_similarity(spark, sf_dir):
+    """SO3, JN11, JN12: keys that share half their members."""
+    members = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.floor(F.col("s_acctbal") / 1000).alias("v")).distinct()
+    return matching.overlap_pairs(members, "k", "v", 0.5).select("k", "other", "kept", "n")
+
+
+@_query("""SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS used FROM customer""")
+def semi_anti(spark, sf_dir):
+    """JN4, SO6."""
+    orders = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return matching.semi_anti(_t(spark, sf_dir, "customer").select("c_custkey"), orders, ["c_custkey"])
+
+
+_HOST = "regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)"
+
+
+@_query(f"""WITH p AS (SELECT page_id, {_HOST} AS host FROM pages), s AS (SELECT page_id, unnest(range(1, len(string_split(host, '.')) + 1)) AS n, string_split(host, '.') AS parts FROM p), x AS (SELECT page_id, n, array_to_string(parts[1:n], '.') AS prefix FROM s), t AS (SELECT DISTINCT string_split(host, '.')[1] AS prefix FROM p UNION SELECT DISTINCT string_split(host, '.')[1] || '.' || string_split(host, '.')[2] FROM p WHERE page_id % 2 = 0)
+SELECT page_id, prefix FROM x JOIN t USING (prefix) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC) = 1""")
+def longest_prefix_join(spark, sf_dir):
+    """JN23."""
+    pages = _t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"))
+    part = lambda n: F.substring_index("host", ".", n)
+    table = pages.select(part(1).alias("prefix")).union(pages.where("page_id % 2 = 0").select(part(2))).distinct()
+    return matching.longest_prefix(pages, F.col("host"), table, "prefix", ["page_id"]).select("page_id", "prefix")
+
+
+@_query("""SELECT d.doc_id, coalesce(l.quality, CAST(d.n_chars % 2 AS INTEGER)) AS quality FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def override_merge(spark, sf_dir):
+    """JN16, JN24: labels win over a rule."""
+    base = _t(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 2).cast("int").alias("quality"))
+    return matching.override(base, _t(spark, sf_dir, "labels"), ["doc_id"], ["quality"])
+
+
+@_query("""SELECT d.lang, count(*) AS n, CAST(sum(toxic) AS BIGINT) AS hits, round((sum(toxic) / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt((sum(toxic) / n) * (1 - sum(toxic) / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n), 9) AS low,
+round((sum(toxic) / n + 1.96 * 1.96 / (2 * n) + 1.96 * sqrt((sum(toxic) / n) * (1 - sum(toxic) / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n), 9) AS high FROM labels JOIN documents d USING (doc_id) GROUP BY 1""")
+def wilson_by_lang(spark, sf_dir):
+    """ST1, AG9, AG24."""
+    rows = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum("toxic").alias("hits"))
+    low, high = st.wilson(F.col("hits"), F.col("n"))
+    return counts.select("lang", "n", "hits", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
+
+
+@_query("""SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS only_quality, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS only_toxic, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS both FROM labels""")
+def mcnemar_counts(spark, sf_dir):
+    """ST5, JN14: the discordant pairs of a McNemar test."""
+    q, t = F.col("quality") == 1, F.col("toxic") == 1
+    return _t(spark, sf_dir, "labels").agg(F.count_if(q & ~t).alias("only_quality"), F.count_if(~q & t).alias("only_toxic"), F.count_if(q & t).alias("both"))
+
+
+@_query()
+def sign_test_by_user(spark, sf_dir):
+    """ST2: exact sign tests of values above and below 50."""
+    v = F.col("value")
+    counts = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(v > 50).alias("up"), F.count_if(v < 50).alias("down"))
+    return counts.withColumn("p", st.sign_test("up", "down"))
+
+
+@_query()
+def cluster_bootstrap(spark, sf_dir):
+    """ST3: intervals of the toxic share by language, sources as clusters."""
+    rows = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
+    return st.bootstrap_by(rows, ["lang"], "source", F.col("toxic") == 1, resamples=1000)
+
+
+@_query("""WITH s AS (SELECT p_partkey, p_name FROM part WHERE lower(p_name) = 'no such part'), l AS (SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1%') SELECT * FROM s UNION ALL SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM s)""")
+def strict_loose_search(spark, sf_dir):
+    """PF15: the loose search only when the strict one finds nothing."""
+    parts = _t(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return matching.strict_or_loose(parts.where(F.lower("p_name") == "no such part"), parts.where(F.col("p_name").contains("1")))
+
+
+@_query("""SELECT o_orderkey, last_day(o_orderdate) AS month_end, make_date(CAST(year(o_orderdate) AS BIGINT), 12, 31) AS year_end, CAST(last_day(o_orderdate) - INTERVAL 30 DAY AS DATE) AS compared FROM orders""")
+def partial_date_end(spark, sf_dir):
+    """SF1, SF2."""
+    month, year = F.date_format("o_orderdate", "yyyy-MM"), F.date_format("o_orderdate", "yyyy")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", S.parse_cutoff(month).alias("month_end"), S.parse_cutoff(year).alias("year_end"), S.compare_date(S.parse_cutoff(month)).alias("compared"))
+
+
+@_query("""SELECT p_partkey, lower(regexp_replace(replace(p_name, ' ', '_.'), '[-_.]+', '-', 'g')) AS name FROM part""")
+def canonical_name(spark, sf_dir):
+    """SF5."""
+    return _t(spark, sf_dir, "part").select("p_partkey", S.canonical_name(F.replace("p_name", F.lit(" "), F.lit("_."))).alias("name"))
+
+
+@_query(f"""WITH p AS (SELECT page_id, string_split({_HOST}, '.') AS parts FROM pages), s AS (SELECT page_id, parts, unnest(range(1, len(parts) + 1)) AS n FROM p) SELECT page_id, array_to_string(parts[1:n], '.') AS prefix FROM s""")
+def prefix_explode(spark, sf_dir):
+    """SF8."""
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
+    return _t(spark, sf_dir, "pages").select("page_id", F.explode_outer(S.prefixes(host)).alias("prefix"))
+
+
+@_query("""SELECT doc_id, CAST(greatest(1, round_even(length(text) / 4.0, 0)) AS INTEGER) AS tokens FROM documents""")
+def token_estimate(spark, sf_dir):
+    """SF25, SF26."""
+    return _t(spark, sf_dir, "documents").select("doc_id", S.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@_query("""WITH RECURSIVE e AS (SELECT n_nationkey AS c, n_nationkey // 2 AS p FROM nation WHERE n_nationkey > 0), w AS (SELECT c AS node, p AS ancestor, 1 AS depth FROM e UNION ALL SELECT w.node, e.p, w.depth + 1 FROM w JOIN e ON e.c = w.ancestor) SELECT CAST(node AS INTEGER) AS node, CAST(ancestor AS INTEGER) AS ancestor, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1, 2""")
+def closure_bfs(spark, sf_dir):
+    """REC1, REC3, REC4: ancestors with their least depth."""
+    edges = _t(spark, sf_dir, "nation").where("n_nationkey > 0").select(F.col("n_nationkey").alias("c"), F.expr("cast(n_nationkey div 2 as int)").alias("p"))
+    return graph.closure(edges, "c", "p")
+
+
+@_query("""WITH s AS (SELECT o_custkey, max(o_orderstatus) AS v FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1), n AS (SELECT o_custkey, max(o_orderstatus) AS v FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY 1)
+SELECT s.o_custkey, CASE WHEN n.o_custkey IS NULL THEN 'orphan' WHEN n.v IS NULL THEN 'unpinned' WHEN n.v = s.v THEN 'current' ELSE 'out_of_date' END AS state FROM s LEFT JOIN n ON n.o_custkey = s.o_custkey""")
+def state_compare(spark, sf_dir):
+    """IN1, JN18."""
+    orders = _t(spark, sf_dir, "orders")
+    day = F.lit("1998-01-01").cast("timestamp")
+    last = lambda df: df.groupBy("o_custkey").agg(F.max("o_orderstatus").alias("v"))
+    return incremental.compare_state(last(orders.where(F.col("o_orderdate") < day)), last(orders.where(F.col("o_orderdate") >= day)), "o_custkey", "v").select("o_custkey", "state")
+
+
+@_query("""SELECT DISTINCT l_partkey FROM lineitem WHERE l_discount > 0.08 AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_tax > 0.07)""")
+def missing_cache_keys(spark, sf_dir):
+    """IN4."""
+    items = _t(spark, sf_dir, "lineitem")
+    return incremental.missing_keys(items.where("l_discount > 0.08"), items.where("l_tax > 0.07"), ["l_partkey"])
+
+
+@_query("""WITH s AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'click' AND value > 50) > 0 AS a, count(*) FILTER (WHERE event_type = 'view' AND value > 50) > 0 AS b, count(*) FILTER (WHERE event_type = 'click') AS n FROM events GROUP BY 1)
+SELECT count(*) AS pairs, count(*) FILTER (WHERE NOT a AND b) AS fixed, count(*) FILTER (WHERE a AND NOT b) AS broken FROM s WHERE n > 0""")
+def pairing_with_exclusions(spark, sf_dir):
+    """JN15, AG10: pairs by user, those without a first arm left out."""
+    hit = lambda kind: F.count_if((F.col("event_type") == kind) & (F.col("value") > 50)) > 0
+    pairs = _t(spark, sf_dir, "events").groupBy("user_id").agg(hit("click").alias("a"), hit("view").alias("b"), F.count_if(F.col("event_type") == "click").alias("n")).where("n > 0")
+    return pairs.agg(F.count("*").alias("pairs"), F.count_if(~F.col("a") & F.col("b")).alias("fixed"), F.count_if(F.col("a") & ~F.col("b")).alias("broken"))
+
+
+@_query("""WITH s AS (SELECT n_nationkey, s_suppkey, 0 AS tier, s_acctbal AS b FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > 9000 UNION ALL SELECT n_nationkey, s_suppkey, 1, s_acctbal FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal <= 9000)
+SELECT n_nationkey, s_suppkey, tier FROM s QUALIFY row_number() OVER (PARTITION BY n_nationkey ORDER BY tier, b DESC, s_suppkey) = 1""")
+def priority_lookup(spark, sf_dir):
+    """JN5, JN17, JN25: the best of the first tier that has a match."""
+    found = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"))
+    tiers = matching.priority_union([found.where("s_acctbal > 9000"), found.where("s_acctbal <= 9000")], ["n_nationkey"])
+    return ranking.best_per_key(tiers, ["n_nationkey"], [F.desc("s_acctbal"), "s_suppkey"]).select("n_nationkey", "s_suppkey", "tier")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As-of selection, snapshot diff, collapse and ranking in one plan: each customer's
+    latest order before two dates, what changed, and the changes in score order."""
+    orders = _t(spark, sf_dir, "orders")
+
+    def current(day: str) -> DataFrame:
+        rows = orders.where(F.col("o_orderdate") <= F.lit(day).cast("timestamp"))
+        return ranking.best_per_key(rows, ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", "o_orderpriority")
+
+    changes = matching.snapshot_diff(current("1997-12-31"), current("1998-12-31"), ["o_custkey"], ["o_orderkey", "o_orderpriority"])
+    kinds = changes.groupBy("change", F.coalesce("new_o_orderpriority", "old_o_orderpriority").alias("priority")).agg(F.count("*").alias("occurrences"), F.min("o_custkey").alias("first_key"))
+    return kinds.withColumn("score", F.round(10 + F.least(F.lit(2.0), F.log2(F.col("occurrences") + 1) - 1), 6)).orderBy(F.desc("score"), "change", "priority")
