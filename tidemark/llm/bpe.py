@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import table, tokenizer_file
 
 #: Bytes of text that a block holds, about; blocks bound what one task keeps in memory.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 
 
 @functools.lru_cache(maxsize=2)
@@ -81,7 +81,8 @@ def encode_and_decode(df: DataFrame, id_column: str = "doc_id", path: str | None
     rows = df.select(F.col(id_column).alias("key"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // block_bytes))
-    n_ranges = max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // (2 * block_bytes)))
+    n_ranges = max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // block_bytes))
+    code = "<u2" if max(vocabulary(path)[1]) < 1 << 16 else "<u4"
     block = F.pmod(F.xxhash64("key", F.crc32(F.col("text").cast("binary"))), F.lit(n_blocks)).cast("int")
     texts = rows.withColumn("block", block).repartition(n_blocks, "block")
 
@@ -108,7 +109,7 @@ def encode_and_decode(df: DataFrame, id_column: str = "doc_id", path: str | None
                     ids = known[word] = encode(word)
                 flat.append(len(ids))
                 flat.extend(ids)
-            out.append(zlib.compress(np.array(flat, "<u4").tobytes(), 1))
+            out.append(zlib.compress(np.array(flat, code).tobytes(), 1))
         return pa.table({"range": given.column("range"), "block": given.column("block"), "ids": pa.array(out, pa.binary())})
 
     def assemble(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -117,26 +118,27 @@ def encode_and_decode(df: DataFrame, id_column: str = "doc_id", path: str | None
         _, token = vocabulary(path)
         texts = docs.column("text").to_pylist()
         words = _by_range(texts, n_ranges)
-        ids: dict[str, tuple[int, ...]] = {}
-        for number, packed in zip(answers.column("range").to_pylist(), answers.column("ids").to_pylist(), strict=True):
-            flat = np.frombuffer(zlib.decompress(packed), "<u4").tolist()
+        first: dict = {}  # of each word: its ids as text (digests) or as they are
+        back: dict[str, bytes] = {}
+        for number, packed in zip(answers.column("range").to_pylist(), answers.column("ids"), strict=True):
+            flat = np.frombuffer(zlib.decompress(packed.as_py()), code).tolist()
             at = 0
-            for word in words[number]:
-                n = flat[at]
-                ids[word] = tuple(flat[at + 1 : at + 1 + n])
-                at += 1 + n
+            for word in words.pop(number):
+                end = at + 1 + flat[at]
+                ids = flat[at + 1 : end]
+                first[word] = ids if emit == "ids" else " ".join(map(str, ids))
+                back[word] = b"".join([token[x] for x in ids])
+                at = end
         split = splitter()
-        shown = {w: " ".join(map(str, i)) for w, i in ids.items()}
-        back = {w: b"".join([token[x] for x in i]) for w, i in ids.items()}
         found = []
         for text in texts:
             pieces = split(text) if text else []
             decoded = b"".join([back[w] for w in pieces])
             if emit == "ids":
-                flat = [x for w in pieces for x in ids[w]]
+                flat = [x for w in pieces for x in first[w]]
                 found.append((len(flat), flat, decoded))
             else:
-                line = " ".join([shown[w] for w in pieces])
+                line = " ".join([first[w] for w in pieces])
                 n = line.count(" ") + 1 if line else 0
                 found.append((n, hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
         return out_table(docs.column("key"), found)
