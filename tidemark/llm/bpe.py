@@ -54,13 +54,8 @@ def _range_of(word: str, n: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % n
 
 
-def _by_range(texts: list[str | None], n: int) -> dict[int, list[str]]:
-    """The distinct pre-tokens of a block in sorted order, by word range."""
-    split = splitter()
-    words: set[str] = set()
-    for text in texts:
-        if text:
-            words.update(split(text))
+def _by_range(words, n: int) -> dict[int, list[str]]:
+    """Distinct pre-tokens in sorted order, by word range."""
     found: dict[int, list[str]] = {}
     for word in sorted(words):
         found.setdefault(_range_of(word, n), []).append(word)
@@ -88,7 +83,10 @@ def encode_and_decode(df: DataFrame, id_column: str = "doc_id", path: str | None
 
     def ask(given: pa.Table) -> pa.Table:
         number = given.column("block")[0].as_py()
-        found = _by_range(given.column("text").to_pylist(), n_ranges)
+        split, words = splitter(), set()
+        for text in given.column("text"):
+            words.update(split(text.as_py() or ""))
+        found = _by_range(words, n_ranges)
         return pa.table(
             {
                 "range": pa.array(list(found), pa.int32()),
@@ -116,8 +114,13 @@ def encode_and_decode(df: DataFrame, id_column: str = "doc_id", path: str | None
         if not docs.num_rows:
             return out_table([], [])
         _, token = vocabulary(path)
-        texts = docs.column("text").to_pylist()
-        words = _by_range(texts, n_ranges)
+        split = splitter()
+        same: dict[str, str] = {}  # one object for each word, so positions cost a pointer
+        texts = []
+        for text in docs.column("text"):
+            pieces = split(text.as_py() or "")
+            texts.append(list(map(same.setdefault, pieces, pieces)))
+        words = _by_range(same, n_ranges)
         first: dict = {}  # of each word: its ids as text (digests) or as they are
         back: dict[str, bytes] = {}
         for number, packed in zip(answers.column("range").to_pylist(), answers.column("ids"), strict=True):
@@ -129,10 +132,8 @@ def encode_and_decode(df: DataFrame, id_column: str = "doc_id", path: str | None
                 first[word] = ids if emit == "ids" else " ".join(map(str, ids))
                 back[word] = b"".join([token[x] for x in ids])
                 at = end
-        split = splitter()
         found = []
-        for text in texts:
-            pieces = split(text) if text else []
+        for pieces in texts:
             decoded = b"".join([back[w] for w in pieces])
             if emit == "ids":
                 flat = [x for w in pieces for x in first[w]]
