@@ -16,7 +16,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_words, ranked, table
+from .common import ascii_words, checkpointed, ranked, table
 
 BITS = 128
 _PAIR = (1 << 32) | 1
@@ -128,6 +128,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vote(versions, ["d", "h", "v", "sha"])
     pick = lambda v, c: F.max(F.when(F.col("v") == v, F.col(c))).alias(f"{c}_{v}")
     row = found.groupBy("d", "h").agg(F.max("sha").alias("sha"), *[pick(v, c) for v in (0, 1) for c in ("f0", "f1")])
+    row = checkpointed(row)  # read twice below; the votes are the costly part
     other = row.select(F.col("d").alias("d2"), F.col("h").alias("h2"), F.col("f0_0").alias("g0"), F.col("f1_0").alias("g1"))
     out = pairs.join(row, ["d", "h"]).join(other, ["d2", "h2"])
     near = lambda a, b: 1.0 - distance(F.col("f0_0"), F.col("f1_0"), F.col(a), F.col(b)) / F.lit(float(BITS))
