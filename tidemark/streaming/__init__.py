@@ -1,0 +1 @@
+"""Polling state as streams of snapshots."""
