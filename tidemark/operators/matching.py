@@ -74,3 +74,23 @@ def strict_or_loose(strict: DataFrame, loose: DataFrame) -> DataFrame:
     """``strict``, or ``loose`` if it is empty; decided inside the plan."""
     some = strict.agg(F.count("*").alias("_n"))
     return strict.unionByName(loose.crossJoin(F.broadcast(some)).where("_n = 0").drop("_n"))
+
+
+def merge_aliases(df: DataFrame, path: str, alias: str, count: str) -> DataFrame:
+    """Rows whose ``alias`` is the path of another row are absorbed by it, with their count."""
+    targets = df.select(F.col(path).alias("_target")).distinct()
+    absorbed = df.join(targets, (F.col(alias) == F.col("_target")) & (F.col(alias) != F.col(path)), "left_semi")
+    extra = absorbed.groupBy(F.col(alias).alias(path)).agg(F.sum(count).alias("_more"))
+    kept = df.join(absorbed.select(path), path, "left_anti").join(extra, path, "left")
+    return kept.withColumn(count, F.col(count) + F.coalesce("_more", F.lit(0))).drop("_more")
+
+
+def unique_containment(members: DataFrame, gone: DataFrame, fresh: DataFrame, key: str, member: str, group: Sequence[str] = (), least: int = 5) -> DataFrame:
+    """Renames: (group, key, other) where a fresh key holds at least 80 percent and ``least`` of a
+    gone key's members and no other fresh key does."""
+    old = members.join(gone, [*group, key], "left_semi")
+    new = members.join(fresh, [*group, key], "left_semi").withColumnRenamed(key, "other")
+    sizes = old.groupBy(*group, key).agg(F.count("*").alias("n"))
+    kept = old.join(new, [*group, member]).groupBy(*group, key, "other").agg(F.count("*").alias("kept"))
+    good = kept.join(sizes, [*group, key]).where((F.col("n") >= least) & (5 * F.col("kept") >= 4 * F.col("n")))
+    return good.withColumn("_c", F.count("*").over(Window.partitionBy(*group, key))).where("_c = 1").drop("_c")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
-from tidemark.operators import graph, grouping, incremental, matching, ranking
+from tidemark.operators import graph, grouping, incremental, matching, projects, ranking
 from tidemark.operators import statistics as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -400,6 +400,86 @@ def priority_lookup(spark, sf_dir):
     return ranking.best_per_key(tiers, ["n_nationkey"], [F.desc("s_acctbal"), "s_suppkey"]).select("n_nationkey", "s_suppkey", "tier")
 
 
+@_query("""WITH b AS (SELECT p_partkey AS path, CASE WHEN p_partkey % 10 = 3 THEN p_partkey - 1 END AS al, CAST(p_size AS BIGINT) AS n FROM part), a AS (SELECT * FROM b WHERE al IN (SELECT path FROM b))
+SELECT b.path, CAST(b.n + coalesce((SELECT sum(n) FROM a WHERE a.al = b.path), 0) AS BIGINT) AS n FROM b WHERE b.path NOT IN (SELECT path FROM a)""")
+def alias_self_merge(spark, sf_dir):
+    """JN8: rows absorbed by the row that they alias."""
+    key = F.col("p_partkey")
+    parts = _t(spark, sf_dir, "part").select(key.alias("path"), F.when(key % 10 == 3, key - 1).alias("al"), F.col("p_size").cast("long").alias("n"))
+    return matching.merge_aliases(parts, "path", "al", "n").select("path", "n")
+
+
+@_query("""WITH m AS (SELECT DISTINCT s_nationkey AS g, s_suppkey % 6 AS k, CAST(floor(s_acctbal / 2500) AS BIGINT) AS v FROM supplier), o AS (SELECT * FROM m WHERE k < 3), n AS (SELECT * FROM m WHERE k >= 3), z AS (SELECT g, k, count(*) AS n FROM o GROUP BY 1, 2),
+s AS (SELECT o.g, o.k, n.k AS other, count(*) AS kept FROM o JOIN n ON o.g = n.g AND o.v = n.v GROUP BY 1, 2, 3) SELECT s.g, s.k, other, kept, n FROM s JOIN z ON s.g = z.g AND s.k = z.k WHERE n >= 2 AND 5 * kept >= 4 * n QUALIFY count(*) OVER (PARTITION BY s.g, s.k) = 1""")
+def unique_containment_match(spark, sf_dir):
+    """JN12: the only fresh key that holds 80 percent of a gone key's members."""
+    m = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("g"), (F.col("s_suppkey") % 6).alias("k"), F.floor(F.col("s_acctbal") / 2500).alias("v")).distinct()
+    return matching.unique_containment(m, m.where("k < 3"), m.where("k >= 3"), "k", "v", ["g"], least=2).select("g", "k", "other", "kept", "n")
+
+
+@_query("""SELECT o_orderpriority, o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""")
+def latest_in_family(spark, sf_dir):
+    """WN4, WN9."""
+    return ranking.best_per_key(_t(spark, sf_dir, "orders"), ["o_orderpriority"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_orderpriority", "o_custkey", "o_orderkey")
+
+
+@_query("""SELECT CAST(O AS INTEGER) AS o, CAST(k AS INTEGER) AS k, round(CASE WHEN k >= O THEN 0 ELSE least(1, (O - k) / CAST(10 - k AS DOUBLE)) END, 9) AS share FROM range(1, 10) a(O), range(0, 6) b(k)""")
+def break_even_grid(spark, sf_dir):
+    """ST13: over a grid of fixed costs and gains."""
+    grid = spark.range(1, 10).select(F.col("id").cast("int").alias("o")).crossJoin(spark.range(0, 6).select(F.col("id").cast("int").alias("k")))
+    return grid.select("o", "k", F.round(st.break_even(F.col("o"), F.lit(10.0), F.col("k")), 9).alias("share"))
+
+
+@_query("""SELECT event_type, count(*) FILTER (WHERE value > 25) AS over25, count(*) FILTER (WHERE value > 50) AS over50, count(*) FILTER (WHERE value > 75) AS over75 FROM events GROUP BY 1""")
+def threshold_histogram(spark, sf_dir):
+    """AG22, SF30: counts over each threshold."""
+    return grouping.conditional_counts(_t(spark, sf_dir, "events"), ["event_type"], {f"over{x}": F.col("value") > x for x in (25, 50, 75)})
+
+
+@_query("""SELECT source, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes, min(doc_id) AS oldest FROM documents GROUP BY 1""")
+def namespace_stats(spark, sf_dir):
+    """AG17."""
+    return _t(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes"), F.min("doc_id").alias("oldest"))
+
+
+@_query("""WITH o AS (SELECT DISTINCT o_custkey % 50 AS k, o_orderstatus AS v FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01'), n AS (SELECT DISTINCT o_custkey % 50 AS k, o_orderstatus AS v FROM orders WHERE o_orderdate >= TIMESTAMP '2001-07-01')
+SELECT (SELECT count(*) FROM (SELECT * FROM o UNION SELECT * FROM n)) AS either, (SELECT count(*) FROM (SELECT * FROM o INTERSECT SELECT * FROM n)) AS both""")
+def strata_union_intersection(spark, sf_dir):
+    """SO8, SO12."""
+    orders = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("k"), F.col("o_orderstatus").alias("v"), "o_orderdate")
+    day = lambda d: F.lit(d).cast("timestamp")
+    old, new = orders.where(F.col("o_orderdate") < day("1996-01-01")).select("k", "v"), orders.where(F.col("o_orderdate") >= day("2001-07-01")).select("k", "v")
+    either = old.union(new).distinct().agg(F.count("*").alias("either"))
+    return either.crossJoin(old.intersect(new).agg(F.count("*").alias("both")))
+
+
+@_query("""SELECT lang, array_to_string(list(source ORDER BY source)[1:3], ', ') || CASE WHEN count(*) > 3 THEN ' and ' || CAST(count(*) - 3 AS VARCHAR) || ' more' ELSE '' END AS head FROM (SELECT DISTINCT lang, source FROM documents) GROUP BY 1""")
+def display_truncation(spark, sf_dir):
+    """SL14, AG27: the first three and how many more."""
+    names = _t(spark, sf_dir, "documents").groupBy("lang").agg(F.array_sort(F.collect_set("source")).alias("s"))
+    more = F.when(F.size("s") > 3, F.concat(F.lit(" and "), (F.size("s") - 3).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
+    return names.select("lang", F.concat(F.array_join(F.slice("s", 1, 3), ", "), more).alias("head"))
+
+
+@_query("""SELECT url, page_id FROM (SELECT page_id, url, lower(regexp_replace(url, '[^a-zA-Z]+', ' ', 'g')) AS k FROM pages) QUALIFY row_number() OVER (PARTITION BY k ORDER BY page_id) = 1""")
+def distinct_by_normal_form(spark, sf_dir):
+    """SO9, SO11: the first of texts that are equal in normal form."""
+    pages = _t(spark, sf_dir, "pages").select("page_id", "url", F.lower(F.regexp_replace("url", "[^a-zA-Z]+", " ")).alias("k"))
+    return ranking.best_per_key(pages, ["k"], [F.asc("page_id")]).select("url", "page_id")
+
+
+@_query("""WITH l AS (SELECT p_partkey AS k, p_size AS v FROM part WHERE p_partkey % 3 = 0), i AS (SELECT p_partkey AS k, p_size + 1 AS v FROM part WHERE p_partkey % 2 = 0), d AS (SELECT p_partkey AS k, p_size + 2 AS v FROM part WHERE p_partkey % 5 = 0)
+SELECT CAST(coalesce(l.k, i.k, d.k) AS VARCHAR) AS name, CAST(coalesce(l.v, i.v, d.v) AS VARCHAR) AS version, CASE WHEN l.k IS NOT NULL THEN 'lock' WHEN i.k IS NOT NULL THEN 'installed' ELSE 'pinned' END AS source, d.k IS NOT NULL AS direct FROM l FULL JOIN i ON l.k = i.k FULL JOIN d ON d.k = coalesce(l.k, i.k)""")
+def merged_dependencies(spark, sf_dir):
+    """JN26: versions by precedence lock, installed, pinned."""
+    parts = _t(spark, sf_dir, "part")
+
+    def some(n: int, add: int) -> DataFrame:
+        return parts.where(F.col("p_partkey") % n == 0).select(F.col("p_partkey").cast("string").alias("name"), (F.col("p_size") + add).cast("string").alias("version"))
+
+    return projects.merged(some(3, 0).withColumn("direct", F.lit(False)), some(2, 1), some(5, 2))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As-of selection, snapshot diff, collapse and ranking in one plan: each customer's
     latest order before two dates, what changed, and the changes in score order."""
