@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import ascii_words, checkpointed, ranked, table
 
 BITS = 128
+#: Differing bits at most, in the search for the documents whose id is divisible by 50.
+RADIUS = 3
 _PAIR = (1 << 32) | 1
 
 
@@ -105,6 +107,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The next document is the next lower one by (doc_id, text hash), null ids last and
     exact repetitions of a row counted as one document; after the last comes the first.
+    ``n_within_radius``, for ids divisible by 50, counts the other fingerprints of the
+    whole table within ``RADIUS`` bits; copies share a fingerprint and count once.
     """
     docs = table(spark, sf_dir, "documents").select(
         F.coalesce(F.col("doc_id"), F.lit(0)).alias("d"),
@@ -130,7 +134,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = found.groupBy("d", "h").agg(F.max("sha").alias("sha"), *[pick(v, c) for v in (0, 1) for c in ("f0", "f1")])
     row = checkpointed(row)  # read twice below; the votes are the costly part
     other = row.select(F.col("d").alias("d2"), F.col("h").alias("h2"), F.col("f0_0").alias("g0"), F.col("f1_0").alias("g1"))
-    out = pairs.join(row, ["d", "h"]).join(other, ["d2", "h2"])
+    held = row.select(F.struct("d", "h").alias("id"), F.col("f0_0").alias("f0"), F.col("f1_0").alias("f1"))
+    asked = held.join(pairs.where("not no_id and d % 50 = 0").select(F.struct("d", "h").alias("id")), "id", "left_semi")
+    near_by = within_radius(asked, held, RADIUS).groupBy("query_id").agg((F.count("*") - 1).alias("n_within_radius"))
+    near_by = near_by.select("query_id.d", "query_id.h", "n_within_radius")
+    out = pairs.join(row, ["d", "h"]).join(other, ["d2", "h2"]).join(near_by, ["d", "h"], "left")
     near = lambda a, b: 1.0 - distance(F.col("f0_0"), F.col("f1_0"), F.col(a), F.col(b)) / F.lit(float(BITS))
     return out.select(
         F.when(~F.col("no_id"), F.col("d")).alias("doc_id"),
@@ -140,5 +148,6 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         shown(F.col("f0_1"), F.col("f1_1")).alias("edited_fingerprint"),
         near("f0_1", "f1_1").alias("near_edited"),
         near("g0", "g1").alias("near_next"),
+        "n_within_radius",
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"),
     ).drop("copy")
