@@ -48,7 +48,7 @@ def statistics(text: str | None) -> list[float]:
     high, spaces = int(count[128:].sum()), int(count[32] + count[9] + count[10] + count[13])
     plain = int(count[44] + count[46] + count[39] + count[45])
     sizes = [len(w) for w in words]
-    odd = sum(1 for w in words[:: max(1, k // 400)] if not (w[-1].isalnum() or w[-1] in ".,"))
+    odd = sum(1 for w in words if not (w[-1].isalnum() or w[-1] in ".,"))
     return [
         float(np.log1p(n)),
         float(np.log1p(k)),
@@ -67,7 +67,7 @@ def statistics(text: str | None) -> list[float]:
         k / max(1, len(lines)),
         spaces / n,
         int(count[46]) / max(1, k),
-        odd / max(1, len(words[:: max(1, k // 400)])),
+        odd / max(1, k),
         high / n,
     ]
 
