@@ -124,3 +124,34 @@ def close_names(name: Column, candidates: Column, n: int = 3, cutoff: float = 0.
         return pd.Series([difflib.get_close_matches(a, list(b), n, cutoff) if a and b is not None else [] for a, b in pairs])
 
     return close(name, candidates)
+
+
+def splice(text, block, start: str = "<!-- notes:start -->", end: str = "<!-- notes:end -->"):
+    """IN3: ``text`` with its marked block replaced by ``block``, or with the block at its end.
+
+    What stands outside the marks stays as it is, and splicing the same block again changes nothing."""
+    text = F.coalesce(text, F.lit(""))
+    at = F.instr(text, start)
+    rest = F.substring(text, at, F.char_length(text))
+    close = F.instr(rest, end)
+    marked = F.concat(F.lit(start + "\n"), block, F.lit("\n" + end))
+    inside = F.concat(F.substring(text, F.lit(1), at - 1), marked, F.substring(rest, close + len(end), F.char_length(text)))
+    gap = F.when(text == "", "").when(text.endswith("\n"), "\n").otherwise("\n\n")
+    return F.when((at > 0) & (close > 0), inside).otherwise(F.concat(text, gap, marked, F.lit("\n")))
+
+
+def imported_modules(code):
+    """SF35: distinct modules that a fragment of Python imports, also one that doesn't parse."""
+    code = F.coalesce(code, F.lit(""))
+    whole = F.flatten(F.transform(F.regexp_extract_all(code, F.lit(r"(?m)^[ \t]*import[ \t]+([^\n#;]+)"), F.lit(1)), lambda m: F.split(m, ",")))
+    whole = F.transform(whole, lambda m: F.regexp_extract(m, r"^\s*([\w.]+)", 1))
+    parts = F.regexp_extract_all(code, F.lit(r"(?m)^[ \t]*from[ \t]+(\w[\w.]*)[ \t]+import\b"), F.lit(1))
+    return F.array_sort(F.array_remove(F.array_distinct(F.concat(whole, parts)), ""))
+
+
+def first_label(text, rules: list[tuple[str, str]]):
+    """PF16: the label of the first (pattern, label) that a text matches; null if none does."""
+    out = F.lit(None).cast("string")
+    for pattern, label in reversed(rules):
+        out = F.when(text.rlike(pattern), label).otherwise(out)
+    return out

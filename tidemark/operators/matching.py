@@ -15,12 +15,12 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, when:
     """For every row of ``left`` the best row of ``right`` with an equal key and ``at`` <= ``when``.
 
     ``order`` ranks the candidates, best first, e.g. final versions before others.
-    The equi-join deals by key and the range is its filter; where ``left`` is one
-    date for all, filter ``right`` and use ``best_per_key`` instead."""
-    numbered = left.withColumn("_row", F.monotonically_increasing_id())
-    found = numbered.select("_row", *keys, when).join(right, list(keys)).where(F.col(at) <= F.col(when))
-    best = best_per_key(found.drop(*keys, when), ["_row"], order)
-    return numbered.join(best, "_row", how).drop("_row")
+    Rows of ``left`` that ask the same are asked once.  The equi-join deals by key and the
+    range is its filter; where ``left`` is one date for all, filter ``right`` and use
+    ``best_per_key`` instead."""
+    asked = left.select(*keys, when).distinct()
+    found = asked.join(right, list(keys)).where(F.col(at) <= F.col(when))
+    return left.join(best_per_key(found, [*keys, when], order), [*keys, when], how)
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
