@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
-from tidemark.operators import graph, grouping, incremental, matching, projects, ranking
+from tidemark.functions import text as T
+from tidemark.operators import changes, graph, grouping, incremental, matching, projects, ranking
 from tidemark.operators import statistics as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,12 +229,12 @@ def holm_adjust(spark, sf_dir):
     return out.select("user_id", F.round(F.least(F.lit(1.0), F.max("step").over(w.rowsBetween(ranking.Window.unboundedPreceding, 0))), 9).alias("p_holm"))
 
 
-@_query("""SELECT p_partkey, round(10 - 1.5 * (p_size % 6) + 3 * (p_partkey % 3) + CAST(p_brand LIKE '%1' AS INTEGER) * 2 + greatest(0, 3 - 0.75 * (length(p_type) - length(replace(p_type, '.', '')))) + least(2, log2(p_size + 1) - 1) + 1 - 4 * CAST(p_size > 45 AS INTEGER), 6)::DOUBLE AS score FROM part ORDER BY score DESC, p_partkey LIMIT 100""")
+@_query("""SELECT p_partkey, round(10 - 1.5 * (p_size % 6) + 3 * (p_partkey % 3) + CAST(p_brand LIKE '%1' AS INTEGER) * 2 + greatest(0, 3 - 0.75 * (length(p_type) - length(replace(p_type, '.', '')))) + least(2, log2(p_size + 1) - 1) + 1 - 4 * CAST(p_size > 45 AS INTEGER), 6)::DOUBLE AS score FROM part ORDER BY score DESC, p_partkey""")
 def composite_score_order(spark, sf_dir):
     """SL1, SL2, SL3: the weighted score, then the id."""
     size = F.col("p_size")
     score = ranking.change_score(size % 6, F.col("p_partkey") % 3, F.col("p_brand").like("%1"), F.col("p_type"), size, F.lit(True), F.lit(False), size > 45, F.lit(0.0), F.lit(False))
-    return _t(spark, sf_dir, "part").select("p_partkey", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "p_partkey").limit(100)
+    return _t(spark, sf_dir, "part").select("p_partkey", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "p_partkey")
 
 
 @_query("""WITH e AS (SELECT p_brand, p_partkey, p_size, p_retailprice, sum(p_size) OVER (PARTITION BY p_brand) AS total, coalesce(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM part)
@@ -276,13 +277,13 @@ def semi_anti(spark, sf_dir):
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)"
 
 
-@_query(f"""WITH p AS (SELECT page_id, {_HOST} AS host FROM pages), s AS (SELECT page_id, unnest(range(1, len(string_split(host, '.')) + 1)) AS n, string_split(host, '.') AS parts FROM p), x AS (SELECT page_id, n, array_to_string(parts[1:n], '.') AS prefix FROM s), t AS (SELECT DISTINCT string_split(host, '.')[1] AS prefix FROM p UNION SELECT DISTINCT string_split(host, '.')[1] || '.' || string_split(host, '.')[2] FROM p WHERE page_id % 2 = 0)
+@_query(f"""WITH p AS (SELECT page_id, {_HOST} AS host, url FROM pages), s AS (SELECT page_id, unnest(range(1, len(string_split(host, '.')) + 1)) AS n, string_split(host, '.') AS parts FROM p), x AS (SELECT page_id, n, array_to_string(parts[1:n], '.') AS prefix FROM s), t AS (SELECT DISTINCT string_split(host, '.')[1] AS prefix FROM p UNION SELECT DISTINCT string_split(host, '.')[1] || '.' || string_split(host, '.')[2] FROM p WHERE url LIKE 'https:%')
 SELECT page_id, prefix FROM x JOIN t USING (prefix) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC) = 1""")
 def longest_prefix_join(spark, sf_dir):
     """JN23."""
-    pages = _t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"))
+    pages = _t(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"))
     part = lambda n: F.substring_index("host", ".", n)
-    table = pages.select(part(1).alias("prefix")).union(pages.where("page_id % 2 = 0").select(part(2))).distinct()
+    table = pages.select(part(1).alias("prefix")).union(pages.where("url like 'https:%'").select(part(2))).distinct()
     return matching.longest_prefix(pages, F.col("host"), table, "prefix", ["page_id"]).select("page_id", "prefix")
 
 
@@ -468,16 +469,93 @@ def distinct_by_normal_form(spark, sf_dir):
     return ranking.best_per_key(pages, ["k"], [F.asc("page_id")]).select("url", "page_id")
 
 
-@_query("""WITH l AS (SELECT p_partkey AS k, p_size AS v FROM part WHERE p_partkey % 3 = 0), i AS (SELECT p_partkey AS k, p_size + 1 AS v FROM part WHERE p_partkey % 2 = 0), d AS (SELECT p_partkey AS k, p_size + 2 AS v FROM part WHERE p_partkey % 5 = 0)
+@_query("""WITH l AS (SELECT p_partkey AS k, p_size AS v FROM part WHERE p_size <= 17), i AS (SELECT p_partkey AS k, p_size + 1 AS v FROM part WHERE p_retailprice >= 950), d AS (SELECT p_partkey AS k, p_size + 2 AS v FROM part WHERE p_brand < 'Brand#2')
 SELECT CAST(coalesce(l.k, i.k, d.k) AS VARCHAR) AS name, CAST(coalesce(l.v, i.v, d.v) AS VARCHAR) AS version, CASE WHEN l.k IS NOT NULL THEN 'lock' WHEN i.k IS NOT NULL THEN 'installed' ELSE 'pinned' END AS source, d.k IS NOT NULL AS direct FROM l FULL JOIN i ON l.k = i.k FULL JOIN d ON d.k = coalesce(l.k, i.k)""")
 def merged_dependencies(spark, sf_dir):
     """JN26: versions by precedence lock, installed, pinned."""
     parts = _t(spark, sf_dir, "part")
 
-    def some(n: int, add: int) -> DataFrame:
-        return parts.where(F.col("p_partkey") % n == 0).select(F.col("p_partkey").cast("string").alias("name"), (F.col("p_size") + add).cast("string").alias("version"))
+    def some(held: str, add: int) -> DataFrame:
+        return parts.where(held).select(F.col("p_partkey").cast("string").alias("name"), (F.col("p_size") + add).cast("string").alias("version"))
 
-    return projects.merged(some(3, 0).withColumn("direct", F.lit(False)), some(2, 1), some(5, 2))
+    return projects.merged(some("p_size <= 17", 0).withColumn("direct", F.lit(False)), some("p_retailprice >= 950", 1), some("p_brand < 'Brand#2'", 2))
+
+
+@_query("""WITH g AS (SELECT p_brand AS origin, p_type AS name, list(DISTINCT p_name) AS l FROM part GROUP BY 1, 2), o AS (SELECT origin, name, [y.x for y in list_sort([{'n': length(x), 'x': x} for x in l])] AS p FROM g)
+SELECT origin, name, p[1] AS path, CAST(len(p) AS INTEGER) AS occurrences, array_to_string(p[2:6], ',') AS also FROM o""")
+def fold_inherited(spark, sf_dir):
+    """AG14: one row for each origin and name, the shortest path first, with the next five."""
+    lost = _t(spark, sf_dir, "part").select(F.col("p_name").alias("class"), F.col("p_type").alias("name"), F.col("p_brand").alias("origin"))
+    return changes.fold_inherited(lost).withColumn("also", F.array_join("also", ","))
+
+
+@_query("""WITH RECURSIVE up AS (SELECT c_custkey AS k, c_custkey // 2 AS a FROM customer WHERE c_custkey > 1 UNION SELECT k, a // 2 FROM up WHERE a > 1)
+SELECT k AS class, bool_or(coalesce(c.c_acctbal, -1) < 0) AS unresolved FROM up LEFT JOIN customer c ON c.c_custkey = up.a GROUP BY 1""")
+def unresolved_ancestors(spark, sf_dir):
+    """REC6: whether any ancestor is not among the known ones."""
+    customers = _t(spark, sf_dir, "customer")
+    bases = customers.where("c_custkey > 1").select(F.col("c_custkey").alias("class"), F.expr("c_custkey div 2").alias("base"))
+    return changes.unresolved_ancestor(bases, customers.where("c_acctbal >= 0").select(F.col("c_custkey").alias("class")))
+
+
+_NOTES = """SELECT o_custkey, o_orderpriority, max(CAST(year(o_orderdate) AS INTEGER)) AS version FROM orders"""
+
+
+@_query(f"""WITH f AS ({_NOTES} GROUP BY 1, 2), s AS ({_NOTES} WHERE o_orderstatus = 'F' GROUP BY 1, 2)
+SELECT f.o_custkey, f.o_orderpriority, f.version, CASE WHEN s.version = f.version THEN 'checked' ELSE 'diff' END AS text FROM f LEFT JOIN s USING (o_custkey, o_orderpriority)""")
+def keep_checked_notes(spark, sf_dir):
+    """JN19, IN2: stored rows stay while their version is the fresh one."""
+    orders, keys = _t(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"]
+    last = lambda df, text: df.groupBy(*keys).agg(F.max(F.year("o_orderdate")).alias("version")).withColumn("text", F.lit(text))
+    return changes.keep_checked(last(orders, "diff"), last(orders.where("o_orderstatus = 'F'"), "checked"), keys)
+
+
+@_query(f"""WITH h AS (SELECT DISTINCT {_HOST} AS host FROM pages), k AS (SELECT string_split(host, '.')[-1] AS root, host FROM h)
+SELECT root, host, CAST(row_number() OVER (PARTITION BY root ORDER BY len(string_split(host, '.')), host) AS INTEGER) AS rank FROM k QUALIFY rank <= 64""")
+def shortest_paths(spark, sf_dir):
+    """WN5: the paths of each object, fewest segments first (the 64 are the operator's)."""
+    hosts = _t(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host")).distinct()
+    return changes.shortest_paths(hosts.withColumn("root", F.substring_index("host", ".", -1)), ["root"], "host").select("root", "host", "rank")
+
+
+@_query("""SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'purchase') AS passed, count(*) FILTER (WHERE event_type = 'error') AS stale, count(*) FILTER (WHERE event_type = 'purchase') / count(*) AS pass_rate, count(*) FILTER (WHERE event_type = 'error') / count(*) AS stale_rate FROM events GROUP BY 1""")
+def pass_rates(spark, sf_dir):
+    """AG26."""
+    outcome = F.when(F.col("event_type") == "purchase", "pass").when(F.col("event_type") == "error", "stale").otherwise("other")
+    return changes.pass_rates(_t(spark, sf_dir, "events").withColumn("outcome", outcome), ["user_id"])
+
+
+@_query("""WITH s AS (SELECT user_id, list(DISTINCT event_type) FILTER (WHERE value > 80) AS p, list(DISTINCT event_type) FILTER (WHERE value < 20) AS a FROM events GROUP BY 1)
+SELECT user_id, CASE WHEN a IS NULL THEN '' ELSE coalesce(array_to_string(list_sort([x for x in p if NOT list_contains(a, x)]), ','), '') END AS unknown FROM s""")
+def unknown_keywords(spark, sf_dir):
+    """SO4, SO5: what is passed and not accepted; a null set accepts anything."""
+    kinds = lambda c: F.collect_set(F.when(c, F.col("event_type")))
+    sets = _t(spark, sf_dir, "events").groupBy("user_id").agg(kinds(F.col("value") > 80).alias("p"), kinds(F.col("value") < 20).alias("a"))
+    accepted = F.when(F.size("a") > 0, F.col("a"))
+    return sets.select("user_id", F.array_join(changes.unknown_keywords(F.col("p"), accepted), ",").alias("unknown"))
+
+
+@_query("""WITH e AS (SELECT DISTINCT l_suppkey AS session, l_partkey AS api FROM lineitem WHERE l_returnflag = 'R'), h AS (SELECT DISTINCT l_suppkey AS session, l_partkey AS api FROM lineitem WHERE l_returnflag = 'N'), s AS (SELECT session, api FROM e EXCEPT SELECT session, api FROM h)
+SELECT e.session, CAST(count(s.api) AS INTEGER) AS n, min(s.api) AS first_api FROM e LEFT JOIN s ON s.session = e.session AND s.api = e.api GROUP BY 1""")
+def edited_not_listed(spark, sf_dir):
+    """JN22: for each session what it edits beyond the listed."""
+    items = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("session"), F.col("l_partkey").alias("api"), "l_returnflag")
+    out = changes.edited_not_listed(items.where("l_returnflag = 'R'"), items.where("l_returnflag = 'N'").withColumn("api", F.col("api")))
+    return out.select("session", F.size("apis").alias("n"), F.get("apis", F.lit(0)).alias("first_api"))
+
+
+@_query("""SELECT l_returnflag AS path, l_linestatus AS parameter, CAST(year(l_shipdate) AS INTEGER) AS context, array_to_string(list_sort(list(DISTINCT CAST(l_linenumber AS VARCHAR))), ',') AS types, count(*) AS n FROM lineitem GROUP BY 1, 2, 3""")
+def reference_sites(spark, sf_dir):
+    """AG15: sites by three keys with the set of their types."""
+    sites = _t(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("path"), F.col("l_linestatus").alias("parameter"), F.year("l_shipdate").alias("context"), F.col("l_linenumber").cast("string").alias("type"))
+    return changes.reference_sites(sites).withColumn("types", F.array_join("types", ","))
+
+
+@_query("""SELECT doc_id, CASE WHEN regexp_matches(text, '[a-z0-9]+@[a-z0-9]+') THEN 'address' WHEN regexp_matches(text, '[Ll]icense') THEN 'license' WHEN regexp_matches(text, '[0-9]{4,}') THEN 'number' END AS label FROM documents""")
+def first_label(spark, sf_dir):
+    """PF16: the first label that fits."""
+    rules = [("[a-z0-9]+@[a-z0-9]+", "address"), ("[Ll]icense", "license"), ("[0-9]{4,}", "number")]
+    return _t(spark, sf_dir, "documents").select("doc_id", T.first_label(F.col("text"), rules).alias("label"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -489,6 +567,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = orders.where(F.col("o_orderdate") <= F.lit(day).cast("timestamp"))
         return ranking.best_per_key(rows, ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", "o_orderpriority")
 
-    changes = matching.snapshot_diff(current("1997-12-31"), current("1998-12-31"), ["o_custkey"], ["o_orderkey", "o_orderpriority"])
-    kinds = changes.groupBy("change", F.coalesce("new_o_orderpriority", "old_o_orderpriority").alias("priority")).agg(F.count("*").alias("occurrences"), F.min("o_custkey").alias("first_key"))
+    changed = matching.snapshot_diff(current("1997-12-31"), current("1998-12-31"), ["o_custkey"], ["o_orderkey", "o_orderpriority"])
+    kinds = changed.groupBy("change", F.coalesce("new_o_orderpriority", "old_o_orderpriority").alias("priority")).agg(F.count("*").alias("occurrences"), F.min("o_custkey").alias("first_key"))
     return kinds.withColumn("score", F.round(10 + F.least(F.lit(2.0), F.log2(F.col("occurrences") + 1) - 1), 6)).orderBy(F.desc("score"), "change", "priority")
