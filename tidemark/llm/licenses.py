@@ -19,8 +19,7 @@ from .common import ascii_words, table
 #: Base phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Wordings of licenses and their notices, and the labels they give.  2-grams of two
-#: words from COMMON don't vote.
+#: Wordings of licenses and their notices, and the labels they give.
 TEMPLATES = (
     (
         "mit",
@@ -58,15 +57,13 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 
-COMMON = frozenset("a an and any are as at be by for from in is it not of on or that the this to with you".split())
-
 #: Diagonals this near are merged; share of a template's votes that a match covers at
 #: least; words of its span for each word of the template at most.
 MERGE, COVER, STRETCH = 4, 0.6, 1.6
 
 
 def template_table(spark: SparkSession, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
-    """One row for each voting 2-gram: (a, b, template, base, label, pos, votes, words).
+    """One row for each 2-gram: (a, b, template, base, label, pos, votes, words).
 
     As many rows as the templates have words, a few hundred; a row without a
     template (-1) meets the mark of each text."""
@@ -74,8 +71,7 @@ def template_table(spark: SparkSession, phrases=PHRASES, templates=TEMPLATES) ->
     given = F.array(*[F.struct(F.lit(n).alias("template"), F.lit(b).alias("base"), F.lit(x).alias("label"), F.split(F.lit(t), " ").alias("w")) for n, (b, x, t) in enumerate(texts)])
     rows = spark.range(1).select(F.explode(given).alias("t")).select("t.*").select("*", F.posexplode("w").alias("pos", "a"))
     rows = rows.withColumn("b", F.get(F.col("w"), F.col("pos") + 1))
-    common = sorted(COMMON)
-    rows = rows.where(F.col("b").isNotNull() & (F.col("base") | ~(F.col("a").isin(*common) & F.col("b").isin(*common))))
+    rows = rows.where(F.col("b").isNotNull())
     votes = rows.groupBy("template").agg(F.count("*").cast("int").alias("votes"))
     rows = rows.join(F.broadcast(votes), "template").select("a", "b", "template", "base", "label", "pos", "votes", F.size("w").alias("words"))
     mark = spark.range(1).select(
