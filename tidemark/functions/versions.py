@@ -33,3 +33,37 @@ def version_key(version: Column) -> Column:
 def is_final(version: Column) -> Column:
     """Neither a pre-release nor a dev version."""
     return (F.regexp_extract(F.lower(version), _FORM, 3) == "") & (F.regexp_extract(F.lower(version), _FORM, 8) == "") & F.lower(version).rlike(_FORM)
+
+
+def satisfies(version: Column, specifier: Column) -> Column:
+    """Whether a version fits every clause of a specifier, pre-releases included; null and empty ones hold.
+
+    A clause or version that is none doesn't hold.  ``==`` and ``!=`` take ".*", a local part counts
+    only where the clause has one, ``>`` leaves out post-releases and ``<`` pre-releases of its version."""
+    full, plain = version_key(version), version_key(F.regexp_replace(version, r"\+.*$", ""))
+    final = F.lit(9223372036854775807)
+    early = lambda k: (k["pre"] < 4) | (k["dev"] < final)
+
+    def clause(text: Column) -> Column:
+        op = F.regexp_extract(text, r"^(===|~=|==|!=|<=|>=|<|>)", 1)
+        given = F.trim(F.regexp_replace(text, r"^[=~!<>]+", ""))
+        wild, bare = given.endswith(".*"), F.regexp_replace(given, r"\.\*$", "")
+        key = version_key(bare)
+        mine = F.when(given.contains("+"), full).otherwise(plain)
+        written = F.size(F.split(F.regexp_extract(F.lower(bare), _FORM, 2), "[.]"))
+
+        def head(n: Column) -> Column:
+            pad = lambda k: F.slice(F.concat(k["release"], F.array_repeat(F.lit(0).cast("long"), n)), F.lit(1), n)
+            return (plain["epoch"] == key["epoch"]) & (pad(plain) == pad(key))
+
+        base = (plain["epoch"] == key["epoch"]) & (plain["release"] == key["release"])
+        equal = F.when(wild, head(written)).otherwise(mine == key)
+        out = F.when(op == "===", F.lower(F.trim(version)) == F.lower(given)).when(op == "==", equal).when(op == "!=", ~equal)
+        out = out.when(wild, False).when(op == ">=", plain >= key).when(op == "<=", plain <= key)
+        out = out.when(op == "~=", (plain >= key) & (written > 1) & head(F.greatest(written - 1, F.lit(1))))
+        out = out.when(op == ">", (plain > key) & ~(base & (key["post"] == 0) & (plain["post"] > 0)))
+        out = out.when(op == "<", (plain < key) & ~(base & ~early(key) & early(plain)))
+        return F.coalesce(out, F.lit(False))
+
+    clauses = F.filter(F.transform(F.split(F.coalesce(specifier, F.lit("")), ","), lambda c: F.trim(c)), lambda c: c != "")
+    return F.forall(clauses, clause)

@@ -11,16 +11,19 @@ from pyspark.sql import functions as F
 from .ranking import best_per_key
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, when: str, order: Sequence[Column], how: str = "left") -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, when: str, order: Sequence[Column], how: str = "left", given: Sequence[str] = (), holds: Column | None = None) -> DataFrame:
     """For every row of ``left`` the best row of ``right`` with an equal key and ``at`` <= ``when``.
 
+    ``holds`` is a further condition on the candidates; it may read the columns ``given`` of
+    ``left``, which are never null.
     ``order`` ranks the candidates, best first, e.g. final versions before others.
     Rows of ``left`` that ask the same are asked once.  The equi-join deals by key and the
     range is its filter; where ``left`` is one date for all, filter ``right`` and use
     ``best_per_key`` instead."""
-    asked = left.select(*keys, when).distinct()
-    found = asked.join(right, list(keys)).where(F.col(at) <= F.col(when))
-    return left.join(best_per_key(found, [*keys, when], order), [*keys, when], how)
+    by = [*keys, when, *given]
+    found = left.select(*by).distinct().join(right, list(keys)).where(F.col(at) <= F.col(when))
+    found = found if holds is None else found.where(holds)
+    return left.join(best_per_key(found, by, order), by, how)
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:

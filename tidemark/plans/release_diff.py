@@ -6,20 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
-from tidemark.functions.versions import is_final, version_key
+from tidemark.functions.versions import is_final, satisfies, version_key
 from tidemark.operators import matching, ranking
 
 PRIORITY = {"removed": 0, "moved": 0, "param_removed": 1, "param_required": 2, "param_keyword_only": 3, "deprecated": 5}
 
 
-def current_releases(releases: DataFrame, cutoffs: DataFrame) -> DataFrame:
+def current_releases(releases: DataFrame, cutoffs: DataFrame, python: str | None = None) -> DataFrame:
     """``cutoffs`` (package, cutoff) with the version current then: not yanked, uploaded by that
-    day, the highest final one, or the highest pre-release that is no dev version."""
+    day, the highest final one, or the highest pre-release that is no dev version.
+
+    A column ``specifier`` of ``cutoffs`` bounds the versions; ``python`` leaves out releases
+    whose ``requires_python`` it doesn't meet."""
     final, dev = is_final(F.col("version")), F.lower("version").rlike(r"dev\d*$")
     able = releases.where(~F.col("yanked")).withColumns({"day": F.to_date("uploaded"), "final": final, "key": version_key(F.col("version"))})
     able = able.where(F.col("key").isNotNull() & (final | ~dev))
-    out = matching.as_of(cutoffs, able, ["package"], "day", "cutoff", [F.desc("final"), F.desc("key")])
-    return out.drop("day", "final", "key", "uploaded", "yanked")
+    if python and "requires_python" in releases.columns:
+        able = able.where(satisfies(F.lit(python), F.col("requires_python")))
+    bounded = "specifier" in cutoffs.columns
+    if bounded:
+        cutoffs = cutoffs.withColumn("specifier", F.coalesce("specifier", F.lit("")))
+    holds = satisfies(F.col("version"), F.col("specifier")) if bounded else None
+    out = matching.as_of(cutoffs, able, ["package"], "day", "cutoff", [F.desc("final"), F.desc("key")], given=["specifier"] if bounded else [], holds=holds)
+    return out.drop("day", "final", "key", "uploaded", "yanked", "requires_python")
 
 
 def _public_paths(objects: DataFrame) -> DataFrame:
