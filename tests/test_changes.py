@@ -8,6 +8,7 @@ from tidemark.functions.markers import marker_applies
 from tidemark.operators import calls, changes, matching
 from tidemark.operators import statistics as st
 from tidemark.sources import environments as env
+from tidemark.sources import python_api
 
 
 def rows(df):
@@ -168,3 +169,20 @@ def test_bootstraps():
     (m_low, m_high), (r_low, r_high) = st.joint_bootstrap(data, [lambda s: float(s[:, 0].mean()), lambda s: st.pearson(s[:, 0], s[:, 1])], 1000)
     assert m_low < data[:, 0].mean() < m_high and -1 <= r_low < r_high <= 1
     assert abs(st.pearson([1, 2, 3], [2, 4, 6]) - 1) < 1e-12 and list(itertools.islice([st.pearson([1, 1], [1, 2])], 1))[0] != 0
+
+
+def test_served_and_replacements(spark):
+    code = (
+        "import warnings\n_OLD = {'gone': 'new.gone', 'two': 1}\n"
+        "def __getattr__(name):\n    if name in _OLD:\n        warnings.warn('x')\n        return 1\n    if name == 'three' or name in ('four', 'five'):\n        return 2\n    raise AttributeError(name)\n"
+    )
+    quiet = "T: dict = {'q': 1}\ndef __getattr__(n):\n    return T[n]\n"
+    src = spark.createDataFrame([("p", "2", "p/__init__.py", code), ("p", "2", "p/m.py", quiet), ("p", "2", "p/bad.py", "def ("), ("p", "2", "p/e.py", None)], "package string, version string, path string, text string")
+    served = python_api.served_names(src)
+    assert rows(served.select("module", "name", "warns")) == [("p", n, True) for n in ("five", "four", "gone", "three", "two")] + [("p.m", "q", False)]
+    ch = spark.createDataFrame([("p", "removed", "p.gone"), ("p", "removed", "p.m.q"), ("p", "removed", "p.really"), ("p", "param_removed", "p.two")], "package string, kind string, path string")
+    assert rows(changes.reclassify_served(ch, served).select("path", "kind")) == [("p.gone", "deprecated"), ("p.really", "removed"), ("p.two", "param_removed")]
+    text = "Use `Client.shutdown()` instead of `close`, or `nothing`."
+    dep = spark.createDataFrame([("p", "p.Client.close", "deprecated", None, text), ("p", "p.x", "deprecated", None, None)], "package string, path string, kind string, parameter string, deprecation string")
+    objects = spark.createDataFrame([("p", "p.Client.shutdown", "shutdown", True), ("p", "p.deep.Client.shutdown", "shutdown", True), ("p", "p.Client.close", "close", True), ("p", "p.Other.shutdown", "shutdown", True), ("q", "q.Client.shutdown", "shutdown", True)], "package string, path string, name string, is_public boolean")
+    assert [r["replacements"] for r in changes.replacements(dep, objects).collect()] == [["p.Client.shutdown"]]

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import code_names, named_replacement
+
 from .graph import closure
 from .matching import semi_anti
 from .ranking import best_per_key
@@ -199,3 +201,27 @@ def edited_not_listed(edits: DataFrame, header: DataFrame, keys: Sequence[str] =
     """JN22: for each session the APIs it edits that the header doesn't list."""
     asked = edits.groupBy(*keys).agg(F.collect_set("api").alias("_edited")).join(header.groupBy(*keys).agg(F.collect_set("api").alias("_listed")), list(keys), "left")
     return asked.select(*keys, F.array_sort(F.array_except("_edited", F.coalesce("_listed", F.array().cast("array<string>")))).alias("apis"))
+
+
+def reclassify_served(changes: DataFrame, served: DataFrame) -> DataFrame:
+    """PF17: removals of what the new release's module still hands out: deprecated if it warns, else gone.
+
+    ``served`` is ``python_api.served_names`` of the new release."""
+    one = served.groupBy("package", F.concat_ws(".", "module", "name").alias("path")).agg(F.bool_or("warns").alias("_warns"))
+    rows = changes.join(one, ["package", "path"], "left")
+    still = F.col("kind").isin("removed", "moved") & F.col("_warns").isNotNull()
+    kind = F.when(F.coalesce(still, F.lit(False)), "deprecated").otherwise(F.col("kind"))
+    return rows.where(~F.coalesce(still & ~F.col("_warns"), F.lit(False))).withColumn("kind", kind).drop("_warns")
+
+
+def replacements(changes: DataFrame, objects: DataFrame, keys: Sequence[str] = ("package", "path", "kind", "parameter")) -> DataFrame:
+    """SF38: ``keys`` and the public paths of the new release that a deprecation text names, one for each name.
+
+    A name may be dotted; it fits a path that ends with it, and the shortest such path counts."""
+    texts = changes.where("deprecation is not null").select(*keys, F.explode(F.array_distinct(F.concat(code_names(F.col("deprecation")), F.array_compact(F.array(named_replacement(F.col("deprecation"))))))).alias("said"))
+    texts = texts.withColumns({"_last": F.element_at(F.split("said", "[.]"), -1), "_package": F.col("package"), "_own": F.col("path")})
+    have = objects.where("is_public").select(F.col("package").alias("_package"), F.col("path").alias("_to"), F.col("name").alias("_last")).distinct()
+    fits = (F.col("_to") == F.col("said")) | F.col("_to").endswith(F.concat(F.lit("."), F.col("said")))
+    found = texts.join(have, ["_package", "_last"]).where(fits & (F.col("_to") != F.col("_own")))
+    first = found.groupBy(*keys, "said").agg(F.min(F.struct(F.length("_to").alias("l"), F.col("_to").alias("to"))).alias("b"))
+    return first.groupBy(*keys).agg(F.array_sort(F.collect_set("b.to")).alias("replacements"))

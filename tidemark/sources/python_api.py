@@ -144,3 +144,47 @@ def file_facts(sources: DataFrame) -> DataFrame:
             yield pd.DataFrame(found, columns=["file", "fact", "a", "b", "pos"]).astype({"pos": "Int32"})
 
     return sources.select("path", "text").mapInPandas(run, FACTS)
+
+
+def served_names(sources: DataFrame) -> DataFrame:
+    """(package, version, module, name, warns): names that a module's ``__getattr__`` hands out.
+
+    Names are the strings that its argument is compared with or looked up in, literal or in a
+    table of the module; ``warns`` says whether the function warns.  Files that don't parse give none."""
+
+    def strings(node: ast.AST | None) -> set[str]:
+        parts = node.keys if isinstance(node, ast.Dict) else node.elts if isinstance(node, (ast.Tuple, ast.List, ast.Set)) else [node]
+        return {p.value for p in parts if isinstance(p, ast.Constant) and isinstance(p.value, str)}
+
+    def served(tree: ast.Module) -> Iterator[tuple[str, bool]]:
+        tables = {t.id: n.value for n in tree.body if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Name)}
+        tables |= {n.target.id: n.value for n in tree.body if isinstance(n, ast.AnnAssign) and isinstance(n.target, ast.Name)}
+        for f in tree.body:
+            if not (isinstance(f, ast.FunctionDef) and f.name == "__getattr__" and f.args.args):
+                continue
+            asked, found, warns = f.args.args[0].arg, set(), False
+            is_asked = lambda n: isinstance(n, ast.Name) and n.id == asked
+            known = lambda n: strings(tables.get(n.id) if isinstance(n, ast.Name) else n)
+            for n in ast.walk(f):
+                if isinstance(n, ast.Compare) and any(map(is_asked, [n.left, *n.comparators])):
+                    found |= {x for side in (n.left, *n.comparators) if not is_asked(side) for x in known(side)}
+                elif isinstance(n, ast.Subscript) and is_asked(n.slice):
+                    found |= known(n.value)
+                elif isinstance(n, ast.Call):
+                    warns |= "warn" in ast.unparse(n.func).lower()
+                    if isinstance(n.func, ast.Attribute) and n.func.attr == "get" and n.args and is_asked(n.args[0]):
+                        found |= known(n.func.value)
+            yield from ((name, warns) for name in sorted(found))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for package, version, path, text in batch[["package", "version", "path", "text"]].itertuples(index=False):
+                module = path.removesuffix(".pyi").removesuffix(".py").removesuffix("/__init__").replace("/", ".")
+                try:
+                    found += [(package, version, module, *row) for row in served(ast.parse(text or ""))]
+                except (SyntaxError, ValueError, RecursionError):
+                    continue
+            yield pd.DataFrame(found, columns=["package", "version", "module", "name", "warns"]).astype({"warns": "boolean"})
+
+    return sources.select("package", "version", "path", "text").mapInPandas(run, "package string, version string, module string, name string, warns boolean")
