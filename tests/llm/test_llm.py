@@ -259,6 +259,32 @@ def test_near_duplicates(spark, docs):
     assert neardup.one_of_each(docs).count() == 7  # null and empty are one text, repeated rows one document
 
 
+def test_near_duplicates_behind_an_unrelated_leader(spark):
+    r = random.Random(23)
+    word = lambda: "".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(3))
+    passage, rows = " ".join(word() for _ in range(60)), []
+    for g in range(150):  # all share a passage; 2g + 1 is 2g with a tenth of its own words replaced
+        own = [word() for _ in range(60)]
+        near = [word() if i % 10 == 4 else w for i, w in enumerate(own)]
+        rows += [(2 * g, f"{passage} {' '.join(own)}"), (2 * g + 1, f"{passage} {' '.join(near)}")]
+    nodes, documents = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {x["id"]: x["class_id"] for x in documents.join(nodes, "same").collect()}
+    assert got == {i: i - i % 2 for i in range(300)}
+
+
+def test_open_pairs_of_mixed_buckets(spark):
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 30, 100)
+    near = base.copy()
+    near[::6] = r.integers(0, 1 << 30, 17)
+    texts = {0: r.integers(0, 1 << 30, 100), 1: base, 2: near, 3: base[:70], 4: base[::-1].copy(), 5: base}
+    buckets = spark.createDataFrame([(7, i, len(w)) for i, w in texts.items()] + [(8, 3, 70)], "key long, node long, n int")
+    parities = spark.createDataFrame([(i, neardup.parity(w).tolist()) for i, w in texts.items()], "node long, parity array<long>")
+    roots = spark.createDataFrame([(1, 1), (5, 1)], "node long, root long")
+    got = {tuple(x) for x in neardup._open_pairs(buckets, roots, parities, 0.8).collect()}
+    assert got == {(1, 2), (2, 5), (1, 4), (4, 5), (2, 4)}  # not 0 (other words), 3 (length) or 1 with 5 (one class)
+
+
 def test_top_k_matches_brute_force(spark):
     r = np.random.default_rng(2)
     v = np.vstack([r.normal(size=(150, 8)) * 0.3, np.repeat(r.normal(size=(3, 8)), 30, axis=0)]).astype(np.float32)
