@@ -115,6 +115,21 @@ def test_packing_places_every_id_once(spark, docs, encode):
     assert b"".join(bytes(p["ids"]) for p in long) == np.array([*encode(LONG), 1], "<u4").tobytes()
 
 
+def test_packing_added_tokens_are_the_tokenizers(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n\n y", "  <|endoftext|", "plain  words", "", "日本 <|endoftext|>"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for p in packing.pack(spark.read.parquet(f"{tmp_path}/documents.parquet"), added_tokens=True).collect():
+        got.setdefault(p["doc_id"], []).append((p["start"], np.frombuffer(bytes(p["ids"]), "<u4").tolist()))
+    ids = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [sum((part for _, part in sorted(got[i])), []) for i in range(len(texts))] == [[*x, 1] for x in ids]
+    counts = {r["doc_id"]: r["doc_tokens"] for r in packing.op4_harmonic_packing(spark, str(tmp_path)).collect()}
+    assert counts == {i: len(x) + 1 for i, x in enumerate(ids)}
+
+
 def labelled(n, bad, good, seed=3):
     r = random.Random(seed)
     texts, y = [], []

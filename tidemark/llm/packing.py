@@ -41,18 +41,19 @@ def _byte_of() -> dict[str, int]:
 def encoder(path: str):
     """A fast encoder over the vocabulary of a ``tokenizers`` byte-level BPE file.
 
-    Ids in such a file follow the order of its merges, so they serve as ranks;
-    strings of special tokens inside a text are ordinary text.
+    Ids in such a file follow the order of its merges, so they serve as ranks.
+    ``encode_ordinary`` takes strings of added tokens inside a text as ordinary text;
+    ``encode`` with all special tokens allowed gives their ids, as the library does.
     """
     import public_tokenizers
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
-    special = {t["content"] for t in model.get("added_tokens", []) if t.get("special")}
+    special = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
     byte = _byte_of()
     ranks = {bytes(byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -95,12 +96,14 @@ class Bins:
         self.next += 1
 
 
-def pack(df: DataFrame, id_column: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None) -> DataFrame:
+def pack(df: DataFrame, id_column: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None, added_tokens: bool = False) -> DataFrame:
     """Pieces of all documents of ``df`` (``id_column``, ``text``) in sequences of ``capacity`` ids.
 
     Adds ``start``, ``length``, ``ids`` (little-endian unsigned 32-bit),
     ``doc_tokens``, ``sequence_id`` and ``offset``.  A null or empty text has the
-    end id alone.  Repeated rows and repeated or null ids are documents of their
+    end id alone.  With ``added_tokens``, strings of the file's added tokens inside a
+    text have the ids of those tokens, as by the library's default; else they are
+    ordinary text.  Repeated rows and repeated or null ids are documents of their
     own.  Other columns of ``df`` are dropped; an empty table gives no rows.
     A task that runs again gives the same sequence ids, as they follow from its
     number and its rows.
@@ -110,7 +113,7 @@ def pack(df: DataFrame, id_column: str = "doc_id", capacity: int = CAPACITY, end
     schema = f"{id_column} {id_type.simpleString()}, {PIECES}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = functools.partial(encoder(path).encode, allowed_special="all") if added_tokens else encoder(path).encode_ordinary
         bins = Bins(TaskContext.get().partitionId() << 36, capacity)
         names = [id_column, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         kind = None
@@ -143,7 +146,7 @@ def pack(df: DataFrame, id_column: str = "doc_id", capacity: int = CAPACITY, end
 
 def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed to 2048 ids; ids leave as checksums."""
-    return digest(pack(table(spark, sf_dir, "documents")))
+    return digest(pack(table(spark, sf_dir, "documents"), added_tokens=True))
 
 
 def digest(pieces: DataFrame) -> DataFrame:
