@@ -287,6 +287,18 @@ def test_near_duplicates_behind_an_unrelated_leader(spark):
     assert got == {i: i - i % 2 for i in range(300)}
 
 
+@pytest.mark.parametrize("n, edits, least", [(5, 1, 0.95), (9, 1, 0.99), (10, 2, 0.95), (17, 3, 0.93), (30, 6, 0.93), (200, 40, 0.96), (200, 20, 0.99)])
+def test_sketches_meet_down_to_the_similarity(n, edits, least):
+    r, met = np.random.default_rng(n + edits), 0
+    for _ in range(300):
+        a = r.integers(0, 1 << 30, n)
+        b = a.copy()
+        b[r.choice(n, edits, replace=False)] = r.integers(1 << 30, 1 << 31, edits)
+        x, y = neardup.sketch(a), neardup.sketch(b)
+        met += bool((x[: len(y)] == y[: len(x)]).any())
+    assert met >= least * 300
+
+
 def test_open_pairs_of_mixed_buckets(spark):
     r = np.random.default_rng(4)
     base = r.integers(0, 1 << 30, 100)
