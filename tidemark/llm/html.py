@@ -15,6 +15,7 @@ import functools
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +25,23 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .trees import Boosted, boost
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: Quotes count only straight after "=", and only where they close: elsewhere an apostrophe is a character.
+_TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?)*+)(?:>|\Z)", re.S
+)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select".split())
+#: Elements whose content is characters up to their end tag.  Without one, script and style take the
+#: rest of the page and the others are empty.
+RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
 #: Elements whose text never shows.
-HIDDEN = frozenset("script style head title noscript template iframe svg math object select option textarea button datalist audio video canvas".split())
+HIDDEN = frozenset("script style head title noscript template iframe noembed noframes svg select option optgroup textarea button datalist audio video canvas".split())
+#: Elements that a page may forget to end: without an end tag further on they are empty.
+LOOSE = frozenset("noscript template svg math object select button datalist audio video canvas".split())
+#: Of these, those that a block's start tag ends.
+INLINE_HIDDEN = frozenset("svg math select option optgroup datalist".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html"
     " legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -76,11 +86,29 @@ class Element:
 
 
 def parse(page: str) -> Element:
-    """The element tree of a page.  Tags that aren't closed end where HTML would end
-    them, or with their parent; stray end tags are passed over; a comment, tag or raw
-    element that the page's end cuts off takes the rest."""
-    root = Element("html", "", None)
-    here, at, n = root, 0, len(page)
+    """The element tree of a page, in time proportional to its length.
+
+    Tags that aren't closed end where HTML would end them, or with their parent; stray
+    end tags are passed over; a comment, tag, script or style that the page's end cuts
+    off takes the rest."""
+    root = here = Element("html", "", None)
+    at, n = 0, len(page)
+    is_open: Counter[str] = Counter()  # of the elements from here up to the root
+    ends: dict[str, int] = {}  # place of the next end tag by name, n without one
+
+    def leave(node: Element) -> None:
+        nonlocal here
+        while here is not node.parent:
+            is_open[here.tag] -= 1
+            here = here.parent
+
+    def end_of(tag: str) -> int:
+        """Place of the next end tag, the page's length without one."""
+        if ends.get(tag, -1) < at:
+            found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            ends[tag] = found.start() if found else n
+        return ends[tag]
+
     while at < n:
         lower = page.find("<", at)
         if lower < 0:
@@ -102,16 +130,15 @@ def parse(page: str) -> Element:
             continue
         tag = name.lower()
         if page.startswith("</", lower):
+            if tag == "br":
+                here.parts.append(" ")
+            if is_open[tag] <= 0:
+                continue
             node = here
-            while node is not root and node.tag != tag:
-                if tag in FORMATTING and node.tag in BLOCKS:  # an inline end tag doesn't close blocks
-                    node = root
-                    break
+            while node.tag != tag and not (tag in FORMATTING and node.tag in BLOCKS):  # an inline end tag doesn't close blocks
                 node = node.parent
-            if node is not root:
-                here = node.parent
-            elif tag == "br":
-                here.parts.append(" ")
+            if node.tag == tag:
+                leave(node)
             continue
         if tag == "br" or tag == "wbr":
             here.parts.append(" " if tag == "br" else "")
@@ -119,30 +146,39 @@ def parse(page: str) -> Element:
         if tag == "html":
             root.attributes = root.attributes or m[2]
             continue
-        if tag in BLOCKS:  # a block ends an open paragraph
+        if tag in BLOCKS:  # a block ends an open paragraph, and what can't hold blocks
             node = here
-            while node is not root and node.tag != "p" and (node.tag in FORMATTING):
+            while node is not root and node.tag in FORMATTING:
                 node = node.parent
-            if node.tag == "p" and node is not root:
-                here = node.parent
-        if tag in CLOSES:
-            ends, bounds = CLOSES[tag]
+            while node is not root and node.tag in INLINE_HIDDEN:
+                leave(node)
+                node = here
+            if node.tag == "p":
+                leave(node)
+        if tag in CLOSES and any(is_open[t] > 0 for t in CLOSES[tag][0]):
+            closed, bounds = CLOSES[tag]
             node = here
             while node is not root and node.tag not in bounds:
-                if node.tag in ends:
-                    here = node.parent
+                if node.tag in closed:
+                    leave(node)
                     break
                 node = node.parent
         child = Element(tag, m[2] or "", here)
         here.children.append(child)
         here.parts.append(child)
-        if tag in VOID or (m[2] or "").endswith("/"):
+        if tag in VOID:  # a slash before ">" ends no other element
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else n
+            end = end_of(tag)
+            if end < n:
+                at = _TOKEN.match(page, end).end()
+            elif tag in ("script", "style"):
+                at = n
+            continue
+        if tag in LOOSE and end_of(tag) == n:
             continue
         here = child
+        is_open[tag] += 1
     return root
 
 
@@ -189,6 +225,11 @@ def features(nodes: list[Element]) -> np.ndarray:
     tag_at = {t: i for i, t in enumerate(TAGS)}
     total = max(1, nodes[0].text)
     above: list[list[int]] = []
+    same: dict[int, Counter[str]] = {}  # tags and the largest text among a node's children
+    largest: dict[int, int] = {}
+    for node in nodes:
+        same[node.index] = Counter(c.tag for c in node.children)
+        largest[node.index] = max((c.text for c in node.children), default=0)
     for row, node in enumerate(nodes):
         parent = node.parent
         inherited = [0] * (len(HINTS) + 4)
@@ -207,8 +248,8 @@ def features(nodes: list[Element]) -> np.ndarray:
         out[row, :17] = (
             np.log1p(node.text), np.log1p(node.own), np.log1p(node.words), node.text / total, node.text / around, node.links / size,
             node.stops / max(1, node.words), np.log1p(node.n_tags), node.n_tags / (1 + node.words), np.log1p(node.paragraphs),
-            node.text / (1 + node.n_tags), node.depth, len(siblings), len(node.children), sum(c.tag == node.tag for c in siblings),
-            max((c.text for c in siblings), default=0) / around, node.words / (1 + node.paragraphs),
+            node.text / (1 + node.n_tags), node.depth, len(siblings), len(node.children), same[parent.index][node.tag] if parent else 1,
+            (largest[parent.index] if parent else node.text) / around, node.words / (1 + node.paragraphs),
         )
         if node.tag in tag_at:
             out[row, 17 + tag_at[node.tag]] = 1
@@ -219,14 +260,19 @@ def features(nodes: list[Element]) -> np.ndarray:
 
 def decode(nodes: list[Element], logit: np.ndarray) -> np.ndarray:
     """The labels with the largest total score among those where content stands only in
-    content; the root counts as content.  A score is the log-odds of content."""
+    content; the root counts as content.  A score is the log-odds of content.
+
+    Words in a line are one text: a formatting element or link without telling attributes
+    goes with the text that it stands in."""
     gain = [0.0] * len(nodes)
+    tied = [n.parent is not None and n.tag in FORMATTING and n.parent.own > 0 and not any(n.hints) for n in nodes]
     for node in reversed(nodes):
-        gain[node.index] = float(logit[node.index]) + sum(max(0.0, gain[c.index]) for c in node.children)
+        own = 0.0 if tied[node.index] else float(logit[node.index])
+        gain[node.index] = own + sum(gain[c.index] if tied[c.index] else max(0.0, gain[c.index]) for c in node.children)
     keep = np.zeros(len(nodes), bool)
     keep[0] = True
     for node in nodes[1:]:
-        keep[node.index] = keep[node.parent.index] and gain[node.index] > 0
+        keep[node.index] = keep[node.parent.index] and (tied[node.index] or gain[node.index] > 0)
     return keep
 
 
