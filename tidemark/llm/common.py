@@ -17,17 +17,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut in the folder of ``spark.checkpoint.dir``.
 
-    A folder of this machine is chosen only where the session names none, as in
-    tests; on a cluster the setting names a shared one.
+    A folder of this machine is chosen only where the session names none and runs in
+    one process, as in tests; a cluster without the setting is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint(eager=True)
 
 
+#: Rows of one key that one task takes; keys with more are split.
+HOT_ROWS = 20_000
+#: Frequent keys that are broadcast; a table of more is joined.
+BROADCAST_KEYS = 500_000
+
+
+def salted_join(many: DataFrame, few: DataFrame, key: str, hot_rows: int = HOT_ROWS, counted: DataFrame | None = None) -> DataFrame:
+    """The inner join of ``many`` and ``few`` on ``key``, with frequent keys of ``many`` split.
+
+    A key with more than ``hot_rows`` rows is dealt over as many parts as it needs, by a hash of
+    the row, and the rows of ``few`` with that key go to every part.  ``counted`` has the
+    keys of ``many`` where that is cheaper to count; counts are aggregated before they move.
+    """
+    times = (many if counted is None else counted).groupBy(key).agg(F.count("*").alias("_n"))
+    hot = checkpointed(times.where(F.col("_n") > hot_rows))
+    n_hot = hot.count()
+    if not n_hot:
+        return many.join(few, key)
+    if n_hot <= BROADCAST_KEYS:
+        hot = F.broadcast(hot)
+    parts = F.coalesce(F.ceil(F.col("_n") / hot_rows).cast("int"), F.lit(1))
+    columns = [c for c in many.columns if c != key]
+    mine = F.xxhash64(*columns) if columns else F.lit(0)
+    left = many.join(hot, key, "left").withColumn("_salt", F.pmod(mine, parts).cast("int")).drop("_n")
+    right = few.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_n")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def ranked(df: DataFrame, order: list, name: str = "_rank") -> tuple[DataFrame, int]:
     """``df`` with a gapless 0-based global rank by ``order``, and the number of rows.
 
@@ -52,12 +82,19 @@ def fold(column, divisor: int):
     return F.coalesce(F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(divisor)), F.lit(0))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train, per_class: int) -> tuple[list[str], list[int], float | None]:
+#: Bytes of text of each class that a fit reads at most.
+SAMPLE_BYTES = 32 << 20
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, target: str, train, per_class: int, sample_bytes: int = SAMPLE_BYTES
+) -> tuple[list[str], list[int], float | None]:
     """At most ``per_class`` labelled training texts of each class, their labels, and
     the positive class's share among all training labels (None without labels).
 
-    The bound is fixed, so neither the driver nor a broadcast grows with the
-    corpus.  Rows are taken in the order of a hash of their id, which makes the
+    The bounds are fixed, in rows and in ``sample_bytes`` of text of each class, so neither
+    the driver nor a broadcast grows with the corpus; texts are taken whole or not at all.
+    Rows are taken in the order of a hash of their id, which makes the
     sample the same in every run.  ``train`` is a column over ``doc_id``.  Rows with
     a null id, label or text are left out; of an id with several labels the
     largest counts, and texts that repeat under one label count once.
@@ -70,8 +107,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train, per_
     if not picked:
         return [], [], None
     chosen = F.broadcast(docs.sparkSession.createDataFrame(pd.DataFrame(picked, columns=["doc_id", "y"]), "doc_id long, y int"))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").where(F.col("text").isNotNull()).collect()
-    distinct = sorted({(r["y"], r["text"]) for r in rows})
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").where(F.col("text").isNotNull())
+    rows = rows.groupBy("y", "text").agg(F.min(order).alias("at"))  # one row a text and label
+    so_far = Window.partitionBy("y").orderBy("at", "text").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("bytes", F.sum(F.octet_length("text").cast("long")).over(so_far)).where(F.col("bytes") <= sample_bytes)
+    distinct = sorted((r["y"], r["text"]) for r in rows.select("y", "text").collect())
     return [t for _, t in distinct], [y for y, _ in distinct], share
 
 

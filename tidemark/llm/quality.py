@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import fold, labelled_sample, table
 from .trees import boost, lasso_logistic
 
-#: Labelled rows of each class that a fit reads at most.
+#: Labelled rows of each class that a fit reads at most (and ``common.SAMPLE_BYTES`` of text).
 PER_CLASS = 2000
 N_TREES, DEPTH, PENALTY = 24, 3, 0.002
 
@@ -124,7 +124,8 @@ def fit(texts: list[str], y: list[int], positive_share: float | None = None) ->
 
 
 def learn(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = PER_CLASS) -> Rules:
-    """Rules fitted on ``labels.quality`` over the rows where ``train`` holds, a bounded sample."""
+    """Rules fitted on ``labels.quality`` over the rows where ``train`` holds, a sample bounded in
+    rows and bytes (``labelled_sample``); without both classes the score is constant."""
     texts, y, share = labelled_sample(docs, labels, "quality", train, per_class)
     return fit(texts, y, share)
 

@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 from .common import fold, labelled_sample, table
 from .trees import ridge_logistic, sigmoid
 
-#: Labelled rows of each class that a fit reads at most.
+#: Labelled rows of each class that a fit reads at most (and ``common.SAMPLE_BYTES`` of text).
 PER_CLASS = 2000
 #: Lengths of the word beginnings that serve as features beside the word itself.
 BEGINNINGS = (4, 5, 6)
 #: Least G statistic and least ratio of document frequencies of a toxic feature.
 LEAST_G, LEAST_LIFT = 24.0, 10.0
-WINDOW, MAX_WINDOWS, STEPS = 6, 6000, 120
+#: Tokens of a training window, steps of the fit.
+SIZE, STEPS = 13, 120
 
 _WORD = re.compile(r"\w+")
 
@@ -128,25 +129,26 @@ def _summary(p: np.ndarray) -> list[float]:
 
 
 def toxic_features(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
-    """Features that mark toxic documents.  Copies of a document count once: those
-    with the same two smallest word hashes."""
-
-    def frequencies(docs: list[list[str]]) -> tuple[Counter, int]:
-        seen, kinds = Counter(), set()
-        for words in docs:
-            distinct = set(words)
-            kind = tuple(sorted(zlib.crc32(w.encode("utf-8", "replace")) for w in distinct)[:2])
-            if kind in kinds:
-                continue
-            kinds.add(kind)
-            seen.update({f for w in distinct for f in features(w)})
-        return seen, max(1, len(kinds))
+    """Features that mark toxic documents, by document frequency.
+
+    Every document counts, but those that look like copies of one another (the same two
+    smallest word hashes) share one vote, or a group of copies would make all its words toxic."""
+
+    def frequencies(docs: list[list[str]]) -> tuple[Counter, float]:
+        distinct = [set(words) for words in docs]
+        kinds = [tuple(sorted(zlib.crc32(w.encode("utf-8", "replace")) for w in d)[:2]) for d in distinct]
+        times, seen = Counter(kinds), Counter()
+        for d, kind in zip(distinct, kinds, strict=True):
+            vote = 1.0 / times[kind]
+            for f in {f for w in d for f in features(w)}:
+                seen[f] += vote
+        return seen, max(1, len(times))
 
     (bad, n_bad), (good, n_good) = frequencies(toxic), frequencies(clean)
     found = set()
     for f, b in bad.items():
-        g = good.get(f, 0)
-        if b < 3 or (b + 0.5) / (n_bad + 1) < LEAST_LIFT * (g + 0.5) / (n_good + 1):
+        g = good.get(f, 0.0)
+        if b < 3 - 1e-9 or (b + 0.5) / (n_bad + 1) < LEAST_LIFT * (g + 0.5) / (n_good + 1):
             continue
         expected = (b + g) * n_bad / (n_bad + n_good)
         rest = (b + g) - expected
@@ -156,17 +158,23 @@ def toxic_features(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
     return found
 
 
-def _windows(docs: list[list[str]], marked: set[str], is_toxic: bool) -> Iterator[tuple[list[str], list[int]]]:
-    """Token windows with labels: around every toxic token, and some of the rest."""
-    size = 2 * WINDOW + 1
+def _windows(docs: list[list[str]], marked: set[str], is_toxic: bool) -> Counter:
+    """The whole documents in windows of ``SIZE`` tokens, and how often each occurs.
+
+    A window is (label before it, marked features and label of each token).  Windows without
+    a marked feature are alike, so all tokens of the sample count and few windows differ."""
+    found: Counter = Counter()
+    known: dict[str, tuple] = {}
     for words in docs:
-        tags = [int(is_toxic and any(f in marked for f in features(w))) for w in words]
-        hits = [i for i, t in enumerate(tags) if t]
-        starts = {max(0, i - WINDOW) for i in hits[:4]}
-        starts |= {int(s) for s in np.linspace(0, max(0, len(words) - size), 3)}
-        for s in sorted(starts):
-            if words[s : s + size]:
-                yield words[s : s + size], tags[s : s + size]
+        tokens = []
+        for w in words:
+            if (token := known.get(w)) is None:
+                own = tuple(f for f in features(w) if f in marked)
+                token = known[w] = (own, int(is_toxic and bool(own)))
+            tokens.append(token)
+        for at in range(0, len(tokens), SIZE):
+            found[tokens[at - 1][1] if at else 0, tuple(tokens[at : at + SIZE])] += 1
+    return found
 
 
 def fit(texts: list[str], y: list[int], positive_share: float | None = None) -> Chain:
@@ -176,10 +184,7 @@ def fit(texts: list[str], y: list[int], positive_share: float | None = None) ->
     marked = toxic_features(toxic, clean) if toxic and clean else set()
     if not marked:
         return Chain({}, -8.0, np.zeros((2, 2)), np.array([-3.0, 0.0, 0.0]))
-    rows = [*_windows(toxic, marked, True), *_windows(clean, marked, False)]
-    if len(rows) > MAX_WINDOWS:
-        rows = [rows[i] for i in np.random.default_rng(5).choice(len(rows), MAX_WINDOWS, replace=False)]
-    chain = Chain(*_train(rows, marked), np.zeros(3))
+    chain = Chain(*_train(_windows(toxic, marked, True) + _windows(clean, marked, False)), np.zeros(3))
     cache: dict = {}
     x = []
     for words in docs:
@@ -195,20 +200,24 @@ def fit(texts: list[str], y: list[int], positive_share: float | None = None) ->
     return chain
 
 
-def _train(rows: list[tuple[list[str], list[int]]], marked: set[str]) -> tuple[dict[str, float], float, np.ndarray]:
-    """Weights by the exact log-likelihood with a quadratic penalty, full-batch Adam.
+def _train(windows: Counter) -> tuple[dict[str, float], float, np.ndarray]:
+    """Weights by the exact log-likelihood of windows given the label before them, with a
+    quadratic penalty, full-batch Adam; each window counts as often as it occurs.
 
-    Only features that some window holds and that mark toxicity get weights, so all
-    other tokens look alike and long gaps between hits cost one matrix power."""
-    names = sorted({f for words, _ in rows for w in words for f in features(w) if f in marked})
+    Only features that mark toxicity get weights, so all other tokens look alike and
+    long gaps between hits cost one matrix power."""
+    rows = sorted(windows)
+    names = sorted({f for _, tokens in rows for own, _ in tokens for f in own})
     at = {f: i + 1 for i, f in enumerate(names)}  # 0: no feature
-    n, size, width = len(rows), 2 * WINDOW + 1, len(BEGINNINGS) + 1
+    n, size, width = len(rows), SIZE, len(BEGINNINGS) + 1
     index, tags, real = np.zeros((n, size, width), np.int64), np.zeros((n, size), np.int64), np.zeros((n, size), bool)
-    for r, (words, labels) in enumerate(rows):
-        for t, (word, label) in enumerate(zip(words, labels, strict=True)):
-            found = [at[f] for f in features(word) if f in at]
-            index[r, t, : len(found)], tags[r, t], real[r, t] = found, label, True
-    before = np.hstack([np.zeros((n, 1), np.int64), tags[:, :-1]])
+    times, first = np.array([float(windows[row]) for row in rows]), np.array([before for before, _ in rows])
+    for r, (_, tokens) in enumerate(rows):
+        for t, (own, label) in enumerate(tokens):
+            index[r, t, : len(own)], tags[r, t], real[r, t] = [at[f] for f in own], label, True
+    before = np.hstack([first[:, None], tags[:, :-1]])
+    start = np.where(first[:, None] == np.arange(2), 0.0, -50.0)
+    scale = times / max(1.0, times.sum() / 6000)  # the penalty is set for a few thousand windows
     theta = np.zeros(len(names) + 1 + 1 + 4)  # features, token, transitions
     theta[-5] = -2.0
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
@@ -219,7 +228,7 @@ def _train(rows: list[tuple[list[str], list[int]]], marked: set[str]) -> tuple[d
         step = theta[-4:].reshape(2, 2)
         score = np.where(real, odds, 0.0)
         ahead = np.zeros((n, size, 2))
-        past = np.tile([0.0, -50.0], (n, 1))
+        past = start
         for t in range(size):
             m = past[:, :, None] + step
             now = np.logaddexp(m[:, 0], m[:, 1])
@@ -232,16 +241,16 @@ def _train(rows: list[tuple[list[str], list[int]]], marked: set[str]) -> tuple[d
         for t in range(size - 1, -1, -1):
             here = real[:, t]
             p[:, t] = np.where(here, np.exp(ahead[:, t, 1] + back[:, 1] - total), 0.0)
-            prior = ahead[:, t - 1] if t else np.tile([0.0, -50.0], (n, 1))
+            prior = ahead[:, t - 1] if t else start
             come = step[None] + back[:, None, :] + np.stack([np.zeros(n), score[:, t]], 1)[:, None, :]
-            pairs += (np.exp(np.minimum(prior[:, :, None] + come - total[:, None, None], 0.0)) * here[:, None, None]).sum(0)
+            pairs += (np.exp(np.minimum(prior[:, :, None] + come - total[:, None, None], 0.0)) * (here * scale)[:, None, None]).sum(0)
             back = np.where(here[:, None], np.logaddexp(come[:, :, 0], come[:, :, 1]), back)
-        gap = np.where(real, tags - p, 0.0)
+        gap = np.where(real, tags - p, 0.0) * scale[:, None]
         slope = np.zeros_like(theta)
         slope[: len(names) + 1] = np.bincount(index.ravel(), np.repeat(gap.ravel(), width), len(names) + 1)
         slope[0] = 0.0
         slope[-5] = gap.sum()
-        seen = np.array([[(real & (before == i) & (tags == j)).sum() for j in (0, 1)] for i in (0, 1)])
+        seen = np.array([[((real & (before == i) & (tags == j)) * scale[:, None]).sum() for j in (0, 1)] for i in (0, 1)])
         slope[-4:] = (seen - pairs).ravel()
         slope -= 0.1 * theta
         mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
@@ -250,7 +259,8 @@ def _train(rows: list[tuple[list[str], list[int]]], marked: set[str]) -> tuple[d
 
 
 def learn(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = PER_CLASS) -> Chain:
-    """A chain fitted on ``labels.toxic`` over the rows where ``train`` holds, a bounded sample."""
+    """A chain fitted on ``labels.toxic`` over the rows where ``train`` holds, a sample bounded in
+    rows and bytes (``labelled_sample``); empty tables and one class alone give a chain that marks nothing."""
     return fit(*labelled_sample(docs, labels, "toxic", train, per_class))
 
 
