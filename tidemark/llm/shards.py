@@ -20,6 +20,8 @@ from .common import checkpointed, ranked, table
 
 BITS = 6
 N_SHARDS = 24
+#: Largest table of distinct strings of a dimension that is broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def hilbert_index(cells: Sequence[np.ndarray], bits: int) -> np.ndarray:
@@ -54,13 +56,17 @@ def hilbert_index(cells: Sequence[np.ndarray], bits: int) -> np.ndarray:
     return index
 
 
-def _ordinal(df: DataFrame, name: str):
-    """An order-preserving number for a column: strings by their first six bytes."""
-    kind = dict(df.dtypes)[name]
-    if kind in ("string", "binary"):
-        head = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return F.col(name).cast("double")
+def _numbered(df: DataFrame, name: str, number: str) -> DataFrame:
+    """``df`` with an order-preserving number for a column: strings by their place among the
+    distinct ones.  The table of these is broadcast where its measured size allows."""
+    if dict(df.dtypes)[name] not in ("string", "binary"):
+        return df.withColumn(number, F.col(name).cast("double"))
+    value = F.col(name).alias("_value")
+    places, _ = ranked(df.where(F.col(name).isNotNull()).select(value).distinct(), ["_value"], number)
+    size = places.agg(F.sum(F.octet_length("_value") + 8)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        places = F.broadcast(places)
+    return df.join(places, F.col(name) == F.col("_value"), "left").drop("_value").withColumn(number, F.col(number).cast("double"))
 
 
 def hilbert_shards(
@@ -72,11 +78,17 @@ def hilbert_shards(
     Nulls get the lowest cell.  Rows equal in the curve index are ordered by the
     ``tie`` columns; rows equal in those too are interchangeable.  Shard ``s`` of
     ``n`` rows has ranks from ``ceil(s * n / n_shards)``, so counts differ by one
-    at most, and slots are gapless.  An empty table gives no rows.  Added columns
-    replace columns of the same names.
+    at most, and slots are gapless.  An empty table gives no rows.  A table that has one
+    of the added columns already, or one that begins with ``_hilbert``, is refused.
     """
-    numbers = [f"_d{i}" for i in range(len(dimensions))]
-    base = checkpointed(df.withColumns({n: _ordinal(df, d) for n, d in zip(numbers, dimensions, strict=True)}))
+    clash = [c for c in df.columns if c in ("curve", "shard", "slot", "_rank", "_part", "_at", "_start", "_value") or c.startswith("_hilbert")]
+    if clash:
+        raise ValueError(f"columns {clash} have names that are added here; rename them first")
+    numbers = [f"_hilbert{i}" for i in range(len(dimensions))]
+    base = df
+    for number, name in zip(numbers, dimensions, strict=True):
+        base = _numbered(base, name, number)
+    base = checkpointed(base)
     cells = 1 << bits
     share = F.array(*[F.lit(i / cells) for i in range(1, cells)])
     cuts = base.agg(*[F.percentile_approx(n, share, F.lit(10_000)).alias(n) for n in numbers]).first()
