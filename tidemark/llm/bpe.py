@@ -5,9 +5,9 @@ word, to the task that holds all copies of a word; there each distinct word is
 encoded once, and its ids go back to the blocks that asked.  A block then lays
 the ids out by the words' positions and decodes them through the table of
 token bytes.  Words travel as one compressed list for each (block, word range)
-instead of a row for each word and position, so what is shuffled beside the
-texts is a small part of them, and a word that a third of all texts hold costs
-one entry a block.
+instead of a row for each word and position: rows would be several times the text (a
+block of 33 MB holds 440,000 distinct words).  So what is shuffled beside the texts is a
+small part of them, and a word that a third of all texts hold costs one entry a block.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ import base64
 import functools
 import hashlib
 import json
+import math
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,11 @@ from .common import table, tokenizer_file
 
 #: Bytes of text that a block holds, about; blocks bound what one task keeps in memory.
 BLOCK_BYTES = 16 << 20
+#: Distinct words for which a word range is meant, and the growth of their number with the text
+#: (Heaps' law): WORDS_AT distinct words in BYTES_AT bytes, more by the power GROWTH.
+RANGE_WORDS, WORDS_AT, BYTES_AT, GROWTH = 1 << 17, 440_000, 33e6, 0.6
+#: Blocks up to this number are named so that each falls into a partition of its own.
+NAMED = 4096
 
 
 @functools.lru_cache(maxsize=2)
@@ -62,6 +68,20 @@ def _by_range(words, n: int) -> dict[int, list[str]]:
     return found
 
 
+def n_ranges_for(size: int, parallel: int) -> int:
+    """Number of word ranges for ``size`` bytes of text: it grows with the distinct words."""
+    return max(parallel, math.ceil(WORDS_AT * (size / BYTES_AT) ** GROWTH / RANGE_WORDS))
+
+
+def block_names(spark: SparkSession, n: int) -> list[int]:
+    """``n`` numbers that hash partitioning deals to ``n`` different partitions."""
+    found = spark.range(n * (4 + 2 * n.bit_length())).select(F.col("id").cast("int").alias("name"))
+    found = found.groupBy(F.pmod(F.hash("name"), F.lit(n)).alias("at")).agg(F.min("name").alias("name"))
+    names = {r["name"] for r in found.collect()}
+    spare = (i for i in range(1 << 30, 1 << 31) if i not in names)
+    return sorted(names) + [next(spare) for _ in range(n - len(names))]
+
+
 def encode_and_decode(df: DataFrame, id_column: str = "doc_id", path: str | None = None, emit: str = "digests", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Ids of every text of ``df`` (``id_column``, ``text``), and the bytes they decode to.
 
@@ -75,11 +95,15 @@ def encode_and_decode(df: DataFrame, id_column: str = "doc_id", path: str | None
     kind = df.schema[id_column].dataType.simpleString()
     rows = df.select(F.col(id_column).alias("key"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // block_bytes))
-    n_ranges = max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // block_bytes))
+    spark = rows.sparkSession
+    n_blocks = max(spark.sparkContext.defaultParallelism, -(-size // block_bytes))
+    n_ranges = n_ranges_for(size, spark.sparkContext.defaultParallelism)
     code = "<u2" if max(vocabulary(path)[1]) < 1 << 16 else "<u4"
     block = F.pmod(F.xxhash64("key", F.crc32(F.col("text").cast("binary"))), F.lit(n_blocks)).cast("int")
-    texts = rows.withColumn("block", block).repartition(n_blocks, "block")
+    if n_blocks <= NAMED:
+        block = F.element_at(F.array(*[F.lit(x) for x in block_names(spark, n_blocks)]), block + 1)
+    # beyond, many blocks share a partition, which evens them out
+    texts = rows.withColumn("block", block).repartition(n_blocks if n_blocks <= NAMED else max(NAMED, n_blocks // 16), "block")
 
     def ask(given: pa.Table) -> pa.Table:
         number = given.column("block")[0].as_py()
@@ -95,20 +119,22 @@ def encode_and_decode(df: DataFrame, id_column: str = "doc_id", path: str | None
             }
         )
 
-    def answer(given: pa.Table) -> pa.Table:
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # holds the distinct words of the task's ranges, not the requests
         encode, _ = vocabulary(path)
         known: dict[str, list[int]] = {}
-        out = []
-        for packed in given.column("words"):
-            flat: list[int] = []
-            for word in json.loads(zlib.decompress(packed.as_py())):
-                ids = known.get(word)
-                if ids is None:
-                    ids = known[word] = encode(word)
-                flat.append(len(ids))
-                flat.extend(ids)
-            out.append(zlib.compress(np.array(flat, code).tobytes(), 1))
-        return pa.table({"range": given.column("range"), "block": given.column("block"), "ids": pa.array(out, pa.binary())})
+        for given in batches:
+            out = []
+            for packed in given.column("words"):
+                flat: list[int] = []
+                for word in json.loads(zlib.decompress(packed.as_py())):
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = known[word] = encode(word)
+                    flat.append(len(ids))
+                    flat.extend(ids)
+                out.append(zlib.compress(np.array(flat, code).tobytes(), 1))
+            yield pa.RecordBatch.from_arrays([given.column("range"), given.column("block"), pa.array(out, pa.binary())], names=["range", "block", "ids"])
 
     def assemble(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
@@ -153,7 +179,7 @@ def encode_and_decode(df: DataFrame, id_column: str = "doc_id", path: str | None
         return pa.table({id_column: keys if found else pa.array([], key_type), "n_tokens": pa.array(n, pa.int64()), names[0]: pa.array(first, types[0]), names[1]: pa.array(second, types[1])})
 
     asked = texts.groupBy("block").applyInArrow(ask, "range int, block int, words binary")
-    answered = asked.groupBy("range").applyInArrow(answer, "range int, block int, ids binary")
+    answered = asked.repartition(n_ranges, "range").mapInArrow(answer, "range int, block int, ids binary")
     columns = "ids array<int>, decoded binary" if emit == "ids" else "ids_sha256 string, decoded_sha256 string"
     return texts.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(assemble, f"{id_column} {kind}, n_tokens long, {columns}")
 
