@@ -1,12 +1,13 @@
 """Operator 7: 128-bit SimHash fingerprints, and a search within a Hamming radius.
 
-Terms are the distinct pairs of neighbouring words (the last word pairs with the
-text's end), weighted by how many of the two are long.  Every term votes with its weight on 128 bits;
-a bit is set when more than half the weight voted for it.  Two counters of 32
-bits share one long, so 64 sums count all votes and stay in generated code.  The
-search cuts fingerprints into blocks, keeps a table for every choice of blocks that
-must be equal within the radius, and compares what meets.  DataFrame functions
-only.
+Terms are the pairs of neighbouring words (the last word pairs with the text's end);
+each occurrence votes, weighted by how many of the two are long.  Letters of scripts
+that are written without spaces are words of their own, and a text without words has its
+characters as words.  Terms vote on 128 bits; a bit is set when more than half the
+weight voted for it.  Two counters of 32 bits share one long, so 64 sums count all votes
+and stay in generated code.  The search cuts fingerprints into blocks, keeps a table for
+every choice of blocks that must be equal within the radius, and compares what meets.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -20,25 +21,34 @@ from .common import ascii_words, checkpointed, ranked, table
 
 BITS = 128
 #: Differing bits at most, in the search for the documents whose id is divisible by 50.
-RADIUS = 3
+RADIUS = 6
 _PAIR = (1 << 32) | 1
+#: Letters of scripts without spaces between words: Thai to Khmer, kana, Han.
+UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF]"
+
+
+def words_of(text: Column) -> Column:
+    """Words of a text, letters of unspaced scripts apart."""
+    return ascii_words(F.when(text.rlike(UNSPACED), F.regexp_replace(text, f"({UNSPACED})", " $1 ")).otherwise(text))
 
 
 def vote(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Fingerprints of the rows of ``df`` by ``keys``: ``f0`` and ``f1`` long.
 
-    Rows with equal keys vote together, so keys tell rows apart.  A text without
-    words, or null, has no votes and the fingerprint 0.  A text may have
-    2**30 distinct terms.
+    Rows with equal keys vote together, so keys tell rows apart.  An empty text,
+    or null, has no votes and the fingerprint 0.  A text may have 2**30 terms.
     """
-    words = df.select(*keys, ascii_words(F.col(text)).alias("_words"))
+    words = words_of(F.col(text))
+    characters = F.array_remove(F.split(F.coalesce("_text", F.lit("")), ""), "")
+    read = df.select(*keys, F.col(text).alias("_text"), words.alias("_found"))
+    read = read.select(*keys, F.when(F.size("_found") > 0, F.col("_found")).otherwise(characters).alias("_words"))
+    after = F.slice(F.concat("_words", F.array(F.lit(""))), 2, F.greatest(F.size("_words"), F.lit(1)))
 
-    def term(word: Column, i: Column) -> Column:
-        after = F.coalesce(F.get(F.col("_words"), i + 1), F.lit(""))
+    def term(word: Column, after: Column) -> Column:
         weight = 1 + (F.length(word) > 3).cast("long") + (F.length(after) > 3).cast("long")
         return F.xxhash64(word, after).bitwiseAND(F.lit(-4)).bitwiseOR(weight)  # the weight sits in two low bits
 
-    terms = words.select(*keys, F.explode_outer(F.array_distinct(F.transform("_words", term))).alias("_term"))
+    terms = read.select(*keys, F.explode_outer(F.zip_with("_words", after, term)).alias("_term"))
     hashes = {k: F.xxhash64("_term", F.lit(k)) for k in (0, 1)}
     terms = terms.select(*keys, F.coalesce(F.col("_term").bitwiseAND(F.lit(3)), F.lit(0)).alias("_w"), *[h.alias(f"_h{k}") for k, h in hashes.items()])
     sums = [
@@ -73,30 +83,35 @@ def within_radius(queries: DataFrame, rows: DataFrame, radius: int, blocks: int
     Both have ``id``, ``f0`` and ``f1``.  Of the ``blocks`` (radius + 2 if not given) 8 to
     32 bits wide, those that hold a differing bit number ``radius`` at most, so some choice
     of the others is equal; there is a table for each choice, keyed by its number and the
-    blocks' bits.  Equal fingerprints count once on both sides: a group of copies costs one row.
+    blocks' bits.  Equal fingerprints count once on both sides: a group of copies costs one
+    row.  Keys of large groups of near copies are left to the adaptive skew join, which splits
+    both sides of them.  Rows without a fingerprint (null) take no part,
+    queries that share one have the same results, and an empty table gives no rows.
     """
     blocks = blocks or radius + 2
     cuts = [round(i * BITS / blocks) for i in range(blocks + 1)]
 
-    def bits(low: int, high: int) -> Column:
+    def bits(low: int, high: int) -> list[Column]:
         parts = []
         for k in (0, 1):
             a, b = max(low, 64 * k) - 64 * k, min(high, 64 * k + 64) - 64 * k
             if a < b:
                 mask = (1 << (b - a)) - 1
                 parts.append(F.shiftrightunsigned(f"f{k}", a).bitwiseAND(F.lit(mask if mask < 1 << 63 else -1)))
-        return F.xxhash64(*parts)
+        return parts
 
     chosen = list(combinations(range(blocks), blocks - radius))
 
+    def distinct(df: DataFrame) -> DataFrame:
+        return df.select("f0", "f1").where(F.col("f0").isNotNull()).distinct()
+
     def keyed(df: DataFrame) -> DataFrame:
-        distinct = df.select("f0", "f1").where(F.col("f0").isNotNull()).distinct()
-        tables = [F.xxhash64(F.lit(n), *[bits(cuts[i], cuts[i + 1]) for i in choice]) for n, choice in enumerate(chosen)]
-        return distinct.select("f0", "f1", F.explode(F.array(*tables)).alias("key"))
+        tables = [F.xxhash64(F.lit(n), *[x for i in choice for x in bits(cuts[i], cuts[i + 1])]) for n, choice in enumerate(chosen)]
+        return df.select("f0", "f1", F.explode(F.array(*tables)).alias("key"))
 
-    q = keyed(queries).select("key", F.col("f0").alias("q0"), F.col("f1").alias("q1"))
+    q = keyed(distinct(queries)).select("key", F.col("f0").alias("q0"), F.col("f1").alias("q1"))
     gap = distance(F.col("q0"), F.col("q1"), F.col("f0"), F.col("f1"))
-    near = q.join(keyed(rows), "key").withColumn("distance", gap).where(F.col("distance") <= radius)
+    near = q.join(keyed(distinct(rows)), "key").withColumn("distance", gap).where(F.col("distance") <= radius)
     near = near.select("q0", "q1", "f0", "f1", "distance").distinct()
     asked = queries.select(F.col("id").alias("query_id"), F.col("f0").alias("q0"), F.col("f1").alias("q1"))
     return asked.join(near, ["q0", "q1"]).select("query_id", "f0", "f1", "distance")
@@ -107,8 +122,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The next document is the next lower one by (doc_id, text hash), null ids last and
     exact repetitions of a row counted as one document; after the last comes the first.
-    ``n_within_radius``, for ids divisible by 50, counts the other fingerprints of the
-    whole table within ``RADIUS`` bits; copies share a fingerprint and count once.
+    For ids divisible by 50, ``n_within_radius`` counts the other fingerprints of the whole table
+    within ``RADIUS`` bits (copies share a fingerprint and count once), and ``nearest_doc`` and
+    ``nearest_bits`` name the smallest id with the nearest of them and its distance.
     """
     docs = table(spark, sf_dir, "documents").select(
         F.coalesce(F.col("doc_id"), F.lit(0)).alias("d"),
@@ -136,8 +152,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = row.select(F.col("d").alias("d2"), F.col("h").alias("h2"), F.col("f0_0").alias("g0"), F.col("f1_0").alias("g1"))
     held = row.select(F.struct("d", "h").alias("id"), F.col("f0_0").alias("f0"), F.col("f1_0").alias("f1"))
     asked = held.join(pairs.where("not no_id and d % 50 = 0").select(F.struct("d", "h").alias("id")), "id", "left_semi")
-    near_by = within_radius(asked, held, RADIUS).groupBy("query_id").agg((F.count("*") - 1).alias("n_within_radius"))
-    near_by = near_by.select("query_id.d", "query_id.h", "n_within_radius")
+    names = held.join(pairs.where("not no_id").select(F.struct("d", "h").alias("id")), "id", "left_semi")
+    names = names.groupBy("f0", "f1").agg(F.min("id.d").alias("doc"))
+    near_by = within_radius(asked, held, RADIUS).join(names, ["f0", "f1"], "left")
+    near_by = near_by.groupBy("query_id").agg(
+        (F.count("*") - 1).alias("n_within_radius"), F.min(F.when(F.col("distance") > 0, F.struct("distance", "doc"))).alias("best")
+    )
+    near_by = near_by.select("query_id.d", "query_id.h", "n_within_radius", F.col("best.doc").alias("nearest_doc"), F.col("best.distance").alias("nearest_bits"))
     out = pairs.join(row, ["d", "h"]).join(other, ["d2", "h2"]).join(near_by, ["d", "h"], "left")
     near = lambda a, b: 1.0 - distance(F.col("f0_0"), F.col("f1_0"), F.col(a), F.col(b)) / F.lit(float(BITS))
     return out.select(
@@ -149,5 +170,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         near("f0_1", "f1_1").alias("near_edited"),
         near("g0", "g1").alias("near_next"),
         "n_within_radius",
+        "nearest_doc",
+        "nearest_bits",
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"),
     ).drop("copy")
