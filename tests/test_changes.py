@@ -1,4 +1,3 @@
-import itertools
 import random
 
 from pyspark.sql import functions as F
@@ -158,17 +157,23 @@ def test_splice_and_imports(spark):
     assert [r[0] for r in labelled.collect()] == ["limited", "slow", None]
 
 
-def test_bootstraps():
-    import numpy as np
-
+def test_bootstraps(spark):
     rng = random.Random(1)
     a, b = [rng.gauss(1, 1) for _ in range(60)], [rng.gauss(0, 1) for _ in range(50)]
-    d, low, high = st.strata_difference(a, b, 2000)
-    assert low < d < high and abs(d - (sum(a) / 60 - sum(b) / 50)) < 1e-9
-    data = np.column_stack([a[:50], b])
-    (m_low, m_high), (r_low, r_high) = st.joint_bootstrap(data, [lambda s: float(s[:, 0].mean()), lambda s: st.pearson(s[:, 0], s[:, 1])], 1000)
-    assert m_low < data[:, 0].mean() < m_high and -1 <= r_low < r_high <= 1
-    assert abs(st.pearson([1, 2, 3], [2, 4, 6]) - 1) < 1e-12 and list(itertools.islice([st.pearson([1, 1], [1, 2])], 1))[0] != 0
+    df = spark.createDataFrame([(i, v, i < 60) for i, v in enumerate(a + b)], "i int, v double, on boolean")
+    gap, low, high = st.strata_difference(df, [], F.col("on"), F.col("v"), "i", 500).select("gap", "low", "high").first()
+    assert low < gap < high and abs(gap - (sum(a) / 60 - sum(b) / 50)) < 1e-9 and high - low < 1.5
+    drawn = st.resampled(df, [], "i", {"s": F.col("v"), "n": F.lit(1), "q": F.col("v") * F.col("v")}, 500)
+    both = st.intervals(drawn, [], {"mean": F.col("s") / F.col("n"), "square": F.col("q") / F.col("n")}).first()
+    assert both["mean_low"] < sum(a + b) / 110 < both["mean_high"] and both["square_low"] < both["square_high"]
+    pairs = spark.createDataFrame([("x", 1, 2.0), ("x", 2, 4.0), ("x", 3, 6.0), ("y", 1, 1.0), ("y", 1, 2.0)], "k string, a int, b double")
+    assert {r["k"]: r["r"] and round(r["r"], 9) for r in st.pearson(pairs, ["k"], "a", "b").collect()} == {"x": 1.0, "y": None}
+    lone = spark.createDataFrame([("one", "c", 1), ("two", "c", 1), ("two", "d", -1)], "k string, c string, net int")
+    got = {r["k"]: (r["clusters"], r["pairs"], r["low"], r["high"]) for r in st.cluster_bootstrap(lone, ["k"], "c", F.col("net"), 200).collect()}
+    assert got == {"one": (1, 1, None, None), "two": (2, 2, -1.0, 1.0)}
+    rank = spark.createDataFrame([(i, i, i * i) for i in range(12)], "i int, a int, b int")
+    rho, p = st.spearman(rank, "i", "a", "b", 200).first()
+    assert abs(rho - 1) < 1e-9 and p < 0.02
 
 
 def test_served_and_replacements(spark):

@@ -73,14 +73,71 @@ def test_state_and_upsert(spark):
     assert rows(incremental.upsert(stored, now, ["k"])) == [("a", "1"), ("b", "2"), ("c", None), ("d", "1")]
 
 
-def test_exact_tests():
-    assert st.sign_test_p(0, 0) == 1.0 and abs(st.sign_test_p(1, 9) - 0.021484375) < 1e-12
-    assert abs(st.fisher_p(1, 9, 11, 3) - 0.002759456185220083) < 1e-12
-    assert st.sign_flip_p([1.0, 1.0, 1.0]) == 0.25
-    low, high = st.clopper_pearson(8, 10)
-    assert abs(low - 0.4439045) < 1e-5 and abs(high - 0.9747893) < 1e-5
-    low, high = st.cluster_bootstrap([(1, 2), (0, 3), (5, 5)], 500)
-    assert 0 <= low <= high <= 1
+def test_global_orders_over_ranges(spark):
+    rng = random.Random(6)
+    items = [(i, rng.randint(1, 9), rng.choice([None, *range(30)]), rng.random()) for i in range(300)]
+    df = spark.createDataFrame(items, "id int, s long, u int, p double")
+    order = sorted(items, key=lambda t: (t[2] is not None, t[2] or 0, t[0]))
+    left, want = sum(t[1] for t in items), []
+    for t in order:
+        if left > 400:
+            want.append(t[0])
+            left -= t[1]
+    assert sorted(r["id"] for r in ranking.lru_evict(df, "s", "u", 400, "id").collect()) == sorted(want)
+    holm, top = {}, 0.0
+    for k, t in enumerate(sorted(items, key=lambda t: t[3])):
+        top = max(top, (300 - k) * t[3])
+        holm[t[0]] = min(1.0, top)
+    got = {r["id"]: r["p_holm"] for r in ranking.holm(df, "p").collect()}
+    assert all(abs(got[i] - holm[i]) < 1e-12 for i in holm)
+
+
+def test_overlap_pairs_match_a_loop(spark):
+    rng = random.Random(5)
+    sets = {k: {rng.randint(0, 12) for _ in range(rng.randint(1, 8))} | {99} for k in range(40)}
+    df = spark.createDataFrame([(k, v) for k, s in sets.items() for v in s], "k int, v int")
+    got = {(r["k"], r["other"]): (r["kept"], r["n"]) for r in matching.overlap_pairs(df, "k", "v", 0.6).collect()}
+    assert got == {(a, b): (len(sets[a] & sets[b]), len(sets[a])) for a in sets for b in sets if a != b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a])}
+
+
+def test_exact_tests(spark):
+    from math import comb
+
+    cases = [(0, 0), (1, 9), (7, 3), (500, 430)]
+    df = spark.createDataFrame(cases, "a int, b int")
+    for r in df.withColumn("p", st.sign_test("a", "b")).collect():
+        n, k = r["a"] + r["b"], min(r["a"], r["b"])
+        assert abs(r["p"] - min(1.0, 2 * sum(comb(n, i) for i in range(k + 1)) / 2**n)) < 1e-9
+    tables = [(1, 9, 11, 3), (3, 1, 1, 3), (0, 5, 5, 0), (10, 10, 10, 10), (0, 0, 0, 0), (40, 2, 30, 25)]
+    df = spark.createDataFrame(tables, "a int, b int, c int, d int")
+    for r in df.withColumn("p", st.fisher("a", "b", "c", "d")).collect():
+        row, column, total = r["a"] + r["b"], r["a"] + r["c"], r["a"] + r["b"] + r["c"] + r["d"]
+        ways = {x: comb(row, x) * comb(total - row, column - x) for x in range(max(0, column + row - total), min(row, column) + 1)}
+        assert abs(r["p"] - sum(w for w in ways.values() if w <= ways[r["a"]]) / sum(ways.values())) < 1e-9
+    df = spark.createDataFrame([(8, 10), (0, 5), (5, 5), (0, 0)], "k int, n int")
+    low, high = st.clopper_pearson("k", "n")
+    got = [(round(r[0], 6), round(r[1], 6)) for r in df.select(low, high).collect()]
+    assert got == [(0.443905, 0.974789), (0.0, 0.521824), (0.478176, 1.0), (0.0, 1.0)]
+
+
+def test_permutation_tests_by_enumeration(spark):
+    from itertools import combinations, product
+
+    rng = random.Random(8)
+    values = [(g, i, round(rng.gauss(0.4, 1), 3), rng.random() < 0.4) for g in "ab" for i in range(9)]
+    df = spark.createDataFrame(values, "g string, i int, v double, on boolean")
+    flips = {r["g"]: r for r in st.sign_flip(df, ["g"], F.col("v")).collect()}
+    labels = {r["g"]: r["p"] for r in st.label_permutation(df, ["g"], F.col("v"), F.col("on")).collect()}
+    for g in "ab":
+        v = [x for k, _, x, _ in values if k == g]
+        sums = [sum(s * x for s, x in zip(signs, v, strict=True)) for signs in product((1, -1), repeat=9)]
+        assert abs(flips[g]["p"] - sum(abs(s) >= abs(sum(v)) - 1e-9 for s in sums) / 512) < 1e-9 and flips[g]["n"] == 9
+        assert abs(flips[g]["p_greater"] - sum(s >= sum(v) - 1e-9 for s in sums) / 512) < 1e-9
+        on = [x for k, _, x, f in values if k == g and f]
+        ways = [abs(sum(c) / len(on) - (sum(v) - sum(c)) / (9 - len(on))) for c in combinations(v, len(on))]
+        own = abs(sum(on) / len(on) - (sum(v) - sum(on)) / (9 - len(on)))
+        assert abs(labels[g] - sum(w >= own - 1e-9 for w in ways) / len(ways)) < 1e-9
+    assert st.label_permutation(spark.createDataFrame([(float(x), x > 5) for x in (1, 2, 3, 7, 8, 9)], "v double, l boolean"), [], F.col("v"), F.col("l")).first()["p"] == 0.1
 
 
 def test_scalars(spark):

@@ -30,9 +30,11 @@ def test_declared_once(spark):
     assert got == {"a": ("1.10", None), "b": (None, ">=1,<3")}
 
 
-def test_intervals():
-    assert abs(st.student_quantile(0.975, 10) - 2.228139) < 1e-5
-    gap, low, high = st.welch_interval([1.0, 2.0, 3.0], [2.0, 4.0, 6.0])
-    assert gap == -2.0 and low < gap < high and math.isnan(st.welch_interval([1.0], [2.0, 3.0])[1])
-    assert st.equivalent([0.01, -0.01, 0.0, 0.02], 0.1, 500) and not st.equivalent([0.5, 0.6], 0.1, 500)
-    assert st.permutation_p([1, 2, 3], [7, 8, 9]) == 0.1
+def test_intervals(spark):
+    rows = [("x", v, True) for v in (1.0, 2.0, 3.0)] + [("x", v, False) for v in (2.0, 4.0, 6.0)] + [("y", 1.0, True), ("y", 2.0, False), ("y", 3.0, False)]
+    got = {r["k"]: r for r in st.welch(spark.createDataFrame(rows, "k string, v double, a boolean"), ["k"], F.col("v"), F.col("a")).collect()}
+    # error sqrt(1/3 + 4/3), freedom (5/3)^2 / ((1/3)^2 / 2 + (4/3)^2 / 2), t(0.975; 2.941) = 3.2185
+    assert got["x"]["gap"] == -2.0 and abs(got["x"]["freedom"] - 2.9412) < 1e-4 and abs(got["x"]["high"] + 2.0 - 3.2185 * math.sqrt(5 / 3)) < 5e-3
+    assert got["y"]["low"] is None and got["y"]["gap"] == -1.5
+    near = spark.createDataFrame([("n", i, v) for i, v in enumerate((0.01, -0.01, 0.0, 0.02))] + [("f", i, v) for i, v in enumerate((0.5, 0.6))], "k string, i int, v double")
+    assert {r["k"]: r["equivalent"] for r in st.equivalent(near, ["k"], F.col("v"), "i", 0.1, 500).collect()} == {"n": True, "f": False}

@@ -1,4 +1,4 @@
-from tidemark.streaming.snapshots import maintain
+from tidemark.streaming.snapshots import current, maintain
 
 
 def test_upserts_by_batch(spark, tmp_path):
@@ -8,5 +8,7 @@ def test_upserts_by_batch(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
         maintain(stream, table, ["k"], "at", str(tmp_path / "cp")).awaitTermination()
-    got = sorted((r["k"], r["v"]) for r in spark.read.parquet(f"{table}/v=1").collect())
-    assert got == [("a", 3), ("b", 1), ("c", 1)]
+    assert sorted((r["k"], r["v"]) for r in current(spark, table).collect()) == [("a", 3), ("b", 1), ("c", 1)]
+    assert sorted((r["k"], r["v"]) for r in current(spark, table, before=1).collect()) == [("a", 2), ("b", 1)]
+    untouched = spark.read.parquet(table).where("k = 'b'").select("tm_batch").collect()
+    assert [r[0] for r in untouched] == [0] or len(untouched) == 2

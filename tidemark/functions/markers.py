@@ -8,11 +8,11 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import functions as F
 
-#: os_name, sys_platform, platform_system and usual machines of the platforms tried.
+#: sys_platform, platform_system, os_name and machine of the platforms tried.
 PLATFORMS = (
-    ("posix", "linux", "Linux", ("x86_64", "aarch64")),
-    ("posix", "darwin", "Darwin", ("arm64", "x86_64")),
-    ("nt", "win32", "Windows", ("AMD64", "ARM64")),
+    ("linux", "Linux", "posix", "x86_64"),
+    ("win32", "Windows", "nt", "AMD64"),
+    ("darwin", "Darwin", "posix", "arm64"),
 )
 _TOKEN = re.compile(r"""\s*(?:(?P<text>'[^']*'|"[^"]*")|(?P<op><=|>=|===|==|!=|~=|<|>)|(?P<word>[A-Za-z_][A-Za-z_0-9.]*)|(?P<mark>[()]))""")
 
@@ -101,7 +101,7 @@ def environments(python: str) -> list[dict[str, str]]:
     """The environments tried for ``python`` ("3.12")."""
     same = {"python_version": ".".join(python.split(".")[:2]), "python_full_version": python if python.count(".") > 1 else f"{python}.0", "extra": ""}
     same |= {"implementation_name": "cpython", "platform_python_implementation": "CPython"}
-    return [same | {"os_name": o, "sys_platform": s, "platform_system": p, "platform_machine": m} for o, s, p, ms in PLATFORMS for m in ms]
+    return [same | {"os_name": o, "sys_platform": s, "platform_system": p, "platform_machine": m} for s, p, o, m in PLATFORMS]
 
 
 def marker_applies(marker, python: str):

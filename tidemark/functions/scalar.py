@@ -60,8 +60,12 @@ def prefixes(path: Column, separator: str = ".") -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), separator))
 
 
+def is_beta(segment: Column) -> Column:
+    return segment.rlike(r"^(?:v\d+)?beta\d*$")
+
+
 def has_beta_segment(path: Column) -> Column:
-    return F.exists(F.split(path, "[.]"), lambda s: s.rlike(r"^(?:v\d+)?beta\d*$"))
+    return F.exists(F.split(path, "[.]"), is_beta)
 
 
 def is_private(path: Column) -> Column:

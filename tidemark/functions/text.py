@@ -86,9 +86,15 @@ def decode_tags(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r",\s*"))
 
 
-def link_by_label(urls: Column, labels: tuple[str, ...] = ("changelog", "changes", "releasenotes", "history", "whatsnew")) -> Column:
-    """The value of a map whose key, as letters only, comes first in ``labels``."""
-    norm = F.map_from_entries(F.transform(F.map_entries(urls), lambda e: F.struct(F.concat(F.regexp_replace(F.lower(e["key"]), "[^a-z]", ""), F.lit("#"), e["key"]).alias("k"), e["value"].alias("v"))))
+#: Labels of project links that document releases, and of those that name the repository,
+#: in the order tried.
+CHANGELOG_LABELS = ("changelog", "changes", "releasenotes", "releases", "history", "whatsnew", "news")
+REPOSITORY_LABELS = ("source", "sourcecode", "repository", "repo", "code", "github", "homepage")
+
+
+def link_by_label(urls: Column, labels: tuple[str, ...] = CHANGELOG_LABELS) -> Column:
+    """The value of a map whose key, without blanks, hyphens and underscores, comes first in ``labels``."""
+    norm = F.map_from_entries(F.transform(F.map_entries(urls), lambda e: F.struct(F.concat(F.regexp_replace(F.lower(e["key"]), r"[\s_-]+", ""), F.lit("#"), e["key"]).alias("k"), e["value"].alias("v"))))
 
     def pick(label: str) -> Column:
         return F.get(F.map_values(F.map_filter(norm, lambda k, v: F.substring_index(k, "#", 1) == label)), F.lit(0))
@@ -96,6 +102,19 @@ def link_by_label(urls: Column, labels: tuple[str, ...] = ("changelog", "changes
     return F.coalesce(*map(pick, labels))
 
 
+def changelog_link(urls: Column) -> Column:
+    """SF28: the link that documents a package's releases, by label, else the releases page of the
+    repository that another link names, the labels of repositories first."""
+    web = F.map_filter(urls, lambda k, v: v.rlike("^https?://"))
+    page = r"^https?://(?:www\.)?github\.com/(?!sponsors/|orgs/)([^/?#]+)/([^/?#]+?)(?:\.git)?(?:[/?#].*)?$"
+    hosted = F.map_filter(urls, lambda k, v: F.trim(v).rlike(page))
+    ranked = F.array_sort(F.transform(F.map_entries(hosted), lambda e: F.struct(
+        F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(x) for x in REPOSITORY_LABELS]), F.regexp_replace(F.lower(e["key"]), r"[\s_-]+", "")), F.lit(0)), F.lit(99)).alias("r"), e["value"].alias("v"))))
+    first = F.trim(F.get(ranked, F.lit(0))["v"])
+    repository = F.concat(F.lit("https://github.com/"), F.regexp_extract(first, page, 1), F.lit("/"), F.regexp_extract(first, page, 2), F.lit("/releases"))
+    return F.coalesce(F.trim(link_by_label(web)), repository)
+
+
 def first_json_object(text: Column) -> Column:
     """The first JSON object inside free text, as text; null if there is none."""
 

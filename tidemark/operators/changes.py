@@ -225,3 +225,59 @@ def replacements(changes: DataFrame, objects: DataFrame, keys: Sequence[str] = (
     found = texts.join(have, ["_package", "_last"]).where(fits & (F.col("_to") != F.col("_own")))
     first = found.groupBy(*keys, "said").agg(F.min(F.struct(F.length("_to").alias("l"), F.col("_to").alias("to"))).alias("b"))
     return first.groupBy(*keys).agg(F.array_sort(F.collect_set("b.to")).alias("replacements"))
+
+
+def still_read(changes: DataFrame, reads: DataFrame) -> DataFrame:
+    """SF37: (package, path, parameter, reader, line): removed parameters whose name the new release still looks
+    up, in the function itself, in what it calls or is decorated with, or in what those call; the first line.
+
+    ``reads`` are ``python_api.parameter_reads`` of the new release."""
+    lost = changes.where("kind = 'param_removed'").select("package", "path", F.regexp_replace("parameter", r"^[*]+", "").alias("parameter")).distinct()
+    calls = reads.where("callee is not null").select("package", "function", "callee").distinct()
+    keys = reads.where("key is not null").select("package", F.col("function").alias("reader"), F.col("key").alias("parameter"), "line")
+    own = lost.select("package", "path", F.col("path").alias("reader")).distinct()
+    near = own.join(calls.withColumnRenamed("function", "reader"), ["package", "reader"]).select("package", "path", F.col("callee").alias("reader"))
+    far = near.join(calls.withColumnRenamed("function", "reader"), ["package", "reader"]).select("package", "path", F.col("callee").alias("reader"))
+    reach = own.withColumn("_hops", F.lit(0)).unionByName(near.withColumn("_hops", F.lit(1))).unionByName(far.withColumn("_hops", F.lit(2)))
+    found = lost.join(reach.distinct(), ["package", "path"]).join(keys, ["package", "reader", "parameter"])
+    first = found.groupBy("package", "path", "parameter").agg(F.min(F.struct("_hops", "line", "reader")).alias("b"))
+    return first.select("package", "path", "parameter", F.col("b.reader").alias("reader"), F.col("b.line").alias("line"))
+
+
+def dropped_requirements(old: DataFrame, new: DataFrame) -> DataFrame:
+    """SO1: (package, name, extra): requirements of the old release that the new one lacks, base ones (null extra)
+    and those of extras that both releases have.
+
+    ``old`` and ``new`` have package, name and extra.  What moved from an extra to the base isn't dropped."""
+    base = lambda df: df.where("extra is null").select("package", "name").distinct()
+    gone = base(old).join(base(new), ["package", "name"], "left_anti").withColumn("extra", F.lit(None).cast("string"))
+    extras = lambda df: df.where("extra is not null").select("package", "extra", "name").distinct()
+    common = extras(old).select("package", "extra").distinct().join(extras(new).select("package", "extra").distinct(), ["package", "extra"])
+    optional = extras(old).join(common, ["package", "extra"]).join(extras(new), ["package", "extra", "name"], "left_anti").join(base(new), ["package", "name"], "left_anti")
+    return gone.unionByName(optional.select("package", "name", "extra"))
+
+
+def switches(old_sites: DataFrame, new_sites: DataFrame, old_requires: DataFrame, new_requires: DataFrame) -> DataFrame:
+    """JN13: (package, gone, fresh, sites, same_name): requirements that a release dropped for an added one whose
+    types stand where the old one's stood; rows for ``release_diff.diff``.
+
+    Sites have package, path, parameter, context, root and name (``reference_roots``); requirements package and name."""
+    lost = dropped_requirements(old_requires, new_requires).where("extra is null").select("package", F.col("name").alias("root"))
+    added = dropped_requirements(new_requires, old_requires).where("extra is null").select("package", F.col("name").alias("root"))
+    tag = lambda df: df.withColumn("root", F.concat_ws("|", "package", "root"))
+    found = switched_dependencies(tag(old_sites), tag(new_sites), tag(lost).select("root").distinct(), tag(added).select("root").distinct())
+    split = lambda c, i: F.element_at(F.split(c, "[|]"), i)
+    return found.where(split("gone", 1) == split("fresh", 1)).select(split("gone", 1).alias("package"), split("gone", 2).alias("gone"), split("fresh", 2).alias("fresh"), "sites", "same_name")
+
+
+def reference_roots(objects: DataFrame) -> DataFrame:
+    """AG15, JN13: sites where a public API names another package's type: (package, path, parameter, context,
+    root, name) for annotations of parameters and returns, and bases; ``root`` is the type's top module, ``name``
+    its last name."""
+    rows = objects.where("is_public and kind in ('class', 'function', 'attribute')")
+    types = rows.select("package", "path", F.lit(None).cast("string").alias("parameter"), F.lit("return").alias("context"), F.explode("returns").alias("_t"))
+    types = types.unionByName(rows.select("package", "path", F.lit(None).cast("string").alias("parameter"), F.lit("base").alias("context"), F.explode("bases").alias("_t")))
+    given = rows.select("package", "path", F.explode("params").alias("_p")).select("package", "path", F.col("_p.name").alias("parameter"), F.lit("parameter").alias("context"), F.explode("_p.types").alias("_t"))
+    types = types.unionByName(given)
+    types = types.where("_t like '%.%'").withColumn("root", F.split("_t", "[.]")[0]).where(F.col("root") != F.split("path", "[.]")[0])
+    return types.select("package", "path", "parameter", "context", "root", F.element_at(F.split("_t", "[.]"), -1).alias("name")).distinct()

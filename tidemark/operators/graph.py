@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def closure(edges: DataFrame, child: str, parent: str, rounds: int = 64) -> DataFrame:
     """(node, ancestor, depth) with the least depth.  Paths are doubled every round, so a
@@ -15,7 +17,7 @@ def closure(edges: DataFrame, child: str, parent: str, rounds: int = 64) -> Data
         step = found.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("higher"), F.col("depth").alias("more"))
         longer = found.join(step, "ancestor").select("node", F.col("higher").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
         found = found.unionByName(longer).where("node <> ancestor").groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
-        found = found.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else found.cache()
+        found = cut(found)
         count = found.count()
         if count == known:
             break

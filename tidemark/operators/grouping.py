@@ -60,3 +60,26 @@ def unique_names(df: DataFrame, name: str, owner: str) -> DataFrame:
 def majority(df: DataFrame, keys: Sequence[str], fixed: Column) -> DataFrame:
     """n, fixed and whether more than half are fixed."""
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(fixed).alias("fixed")).withColumn("majority", 2 * F.col("fixed") > F.col("n"))
+
+
+def recall(df: DataFrame, keys: Sequence[str], found: Column, among: Column | None = None) -> DataFrame:
+    """AG24: (keys, n, hits, share, low, high): the share of rows that were found, of those where ``among`` holds."""
+    from .statistics import wilson
+
+    rows = df if among is None else df.where(among)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(found).alias("hits"))
+    low, high = wilson(F.col("hits"), F.col("n"))
+    return counts.select(*keys, "n", "hits", (F.col("hits") / F.col("n")).alias("share"), low.alias("low"), high.alias("high"))
+
+
+def decomposition(df: DataFrame, keys: Sequence[str], parts: Sequence[str], arm: Column, treated: str, control: str) -> DataFrame:
+    """AG25: (keys, part, treated, control, change, share): totals of each part in two arms, the change, and its share
+    of the change of all parts together; sums come before the unpivot."""
+    rows = df.withColumn("_arm", arm).where(F.col("_arm").isin(treated, control))
+    sums = [F.sum(F.when(F.col("_arm") == a, F.col(p))).alias(f"{p}|{a}") for p in parts for a in (treated, control)]
+    wide = rows.groupBy(*keys).agg(*sums)
+    zero = lambda p, a: F.coalesce(F.col(f"`{p}|{a}`"), F.lit(0))
+    whole = sum((zero(p, treated) - zero(p, control) for p in parts[1:]), zero(parts[0], treated) - zero(parts[0], control))
+    entries = F.array(*[F.struct(F.lit(p).alias("part"), zero(p, treated).alias("treated"), zero(p, control).alias("control")) for p in parts])
+    out = wide.select(*keys, whole.alias("_all"), F.explode(entries).alias("_e")).select(*keys, "_all", "_e.*").withColumn("change", F.col("treated") - F.col("control"))
+    return out.withColumn("share", F.when(F.col("_all") != 0, F.col("change") / F.col("_all"))).drop("_all")

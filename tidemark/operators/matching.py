@@ -59,11 +59,20 @@ def longest_prefix(left: DataFrame, path: Column, table: DataFrame, prefix: str,
 def overlap_pairs(members: DataFrame, key: str, member: str, least: float, group: Sequence[str] = ()) -> DataFrame:
     """Pairs of different keys with at least ``least`` of the first key's members in common.
 
-    ``members`` is distinct in (group, key, member).  Pairs meet on members, so only
-    keys that share one are compared."""
+    ``members`` is distinct in (group, key, member).  A key that has n members and must keep
+    k of them shares one of its n - k + 1 rarest members with every partner, so only
+    those lead to candidates; members that many keys hold join last or not at all."""
     sizes = members.groupBy(*group, key).agg(F.count("*").alias("n"))
+    holders = members.groupBy(*group, member).agg(F.count("*").alias("_holders"))
+    rare = Window.partitionBy(*group, key).orderBy("_holders", member)
+    need = F.greatest(F.lit(1), F.ceil(F.lit(least) * F.col("n") - 1e-9))
+    prefix = members.join(holders, [*group, member]).withColumn("_at", F.row_number().over(rare)).join(sizes, [*group, key])
+    prefix = prefix.where(F.col("_at") <= F.col("n") - need + 1)
     other = members.select(*group, F.col(key).alias("other"), member)
-    shared = members.join(other, [*group, member]).where(F.col(key) != F.col("other")).groupBy(*group, key, "other").agg(F.count("*").alias("kept"))
+    met = prefix.select(*group, key, member).join(other, [*group, member]).where(F.col(key) != F.col("other")).select(*group, key, "other").distinct()
+    sets = members.groupBy(*group, key).agg(F.collect_set(member).alias("_own"))
+    both = met.join(sets, [*group, key]).join(sets.select(*group, F.col(key).alias("other"), F.col("_own").alias("_theirs")), [*group, "other"])
+    shared = both.select(*group, key, "other", F.size(F.array_intersect("_own", "_theirs")).cast("long").alias("kept"))
     return shared.join(sizes, [*group, key]).where(F.col("kept") >= least * F.col("n"))
 
 

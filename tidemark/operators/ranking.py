@@ -34,21 +34,61 @@ def hash_sample(df: DataFrame, key: str, n: int, salt: str = "") -> DataFrame:
     return df.withColumn("_h", F.sha2(F.concat(F.lit(salt), F.col(key).cast("string")), 256)).orderBy("_h").limit(n).drop("_h")
 
 
+def span(df: DataFrame, by: str, parts: int | None = None) -> Column:
+    """The number of a row's range when the values of ``by`` (numbers or times) are cut into ranges of
+    about equal numbers of rows; equal values share a range, nulls are in the first."""
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    value = F.col(by).cast("double")
+    cuts = df.agg(F.percentile_approx(value, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0]
+    edges = [F.lit(float(c)) for c in sorted(set(cuts or []))]
+    return F.size(F.filter(F.array(*edges), lambda c: c < value)) if edges else F.lit(0)
+
+
+def _over_ranges(df: DataFrame, value: Column, name: str, fold, start) -> DataFrame:
+    """``df`` (with ``_span``) with the fold of ``value`` over all earlier ranges, one row a range."""
+    each = df.groupBy("_span").agg(fold(value).alias("_v"))
+    earlier = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = each.select("_span", F.coalesce(fold(F.col("_v")).over(earlier), F.lit(start)).alias(name))
+    return df.join(F.broadcast(offsets), "_span")  # as many rows as ranges
+
+
+def _sum_before(df: DataFrame, value: str, keys: Sequence[str], by: str, order: Sequence[str], name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows before each row; without keys, ranges of ``by`` are
+    summed in parallel."""
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
+    placed = df.withColumn("_span", span(df, by))
+    w = Window.partitionBy("_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = _over_ranges(placed.withColumn("_own", F.coalesce(F.sum(value).over(w), F.lit(0))), F.col(value), "_past", F.sum, 0)
+    return placed.withColumn(name, F.col("_own") + F.col("_past")).drop("_own", "_past", "_span")
+
+
 def fractional_rank(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """Average rank with ties, from value frequencies instead of all rows in one order."""
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn(name, F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2)
-    return df.join(placed.drop("_n"), [*keys, value])
+    placed = _sum_before(counts, "_n", keys, value, [value], "_before")
+    placed = placed.withColumn(name, F.col("_before") + (F.col("_n") + 1) / 2)
+    return df.join(placed.drop("_n", "_before"), [*keys, value])
 
 
 def holm(df: DataFrame, p: str, keys: Sequence[str] = (), name: str = "p_holm") -> DataFrame:
     """Holm step-down: (m - rank) * p, running maximum in the order of p, at most 1."""
-    by = Window.partitionBy(*keys).orderBy(p)
-    m = F.count("*").over(Window.partitionBy(*keys))
-    step = (m - F.row_number().over(by) + 1) * F.col(p)
-    running = Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("_step", step).withColumn(name, F.least(F.lit(1.0), F.max("_step").over(running))).drop("_step")
+    if keys:
+        by = Window.partitionBy(*keys).orderBy(p)
+        m = F.count("*").over(Window.partitionBy(*keys))
+        placed = df.withColumn("_step", (m - F.row_number().over(by) + 1) * F.col(p)).withColumn("_past", F.lit(0.0))
+        running = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    else:
+        placed = df.withColumn("_span", span(df, p))
+        by = Window.partitionBy("_span").orderBy(p)
+        placed = _over_ranges(placed.withColumn("_rank", F.row_number().over(by)), F.lit(1), "_earlier", F.sum, 0)
+        placed = placed.join(F.broadcast(df.agg(F.count("*").alias("_m"))))  # one row
+        placed = placed.withColumn("_step", (F.col("_m") - F.col("_earlier") - F.col("_rank") + 1) * F.col(p))
+        placed = _over_ranges(placed, F.col("_step"), "_past", F.max, 0.0)
+        running = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = placed.withColumn(name, F.least(F.lit(1.0), F.greatest("_past", F.max("_step").over(running))))
+    return out.select(*df.columns, name)
 
 
 def lru_evict(df: DataFrame, size: str, used: str, cap: int, tie: str, evictable: Column | None = None, keys: Sequence[str] = ()) -> DataFrame:
@@ -56,10 +96,8 @@ def lru_evict(df: DataFrame, size: str, used: str, cap: int, tie: str, evictable
 
     ``evictable`` keeps protected entries, whose sizes still count."""
     total = df.groupBy(*keys).agg(F.sum(size).alias("_total"))
-    able = df if evictable is None else df.where(evictable)
-    w = Window.partitionBy(*keys).orderBy(used, tie).rowsBetween(Window.unboundedPreceding, -1)
-    able = able.withColumn("freed", F.coalesce(F.sum(size).over(w), F.lit(0)))
-    joined = able.join(F.broadcast(total), list(keys)) if keys else able.crossJoin(F.broadcast(total))
+    able = _sum_before(df if evictable is None else df.where(evictable), size, keys, used, [used, tie], "freed")
+    joined = able.join(total, list(keys)) if keys else able.crossJoin(F.broadcast(total))  # one row
     return joined.where(F.col("_total") - F.col("freed") > cap).drop("_total")
 
 

@@ -122,10 +122,11 @@ def two_phase_majority(spark, sf_dir):
     return first.groupBy("event_type").agg(F.count("*").alias("users"), F.count_if("majority").alias("improved"))
 
 
-@_query("""SELECT p_name, min(p_brand) AS p_brand FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) = 1""")
+@_query("""SELECT name, min(p_brand) AS p_brand FROM (SELECT p_name || ' ' || CAST(p_size AS VARCHAR) AS name, p_brand FROM part) GROUP BY 1 HAVING count(DISTINCT p_brand) = 1""")
 def having_unique_name(spark, sf_dir):
-    """AG12, AG13."""
-    return grouping.unique_names(_t(spark, sf_dir, "part"), "p_name", "p_brand")
+    """AG12, AG13: names that one brand alone has."""
+    name = F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))
+    return grouping.unique_names(_t(spark, sf_dir, "part").select(name.alias("name"), "p_brand"), "name", "p_brand")
 
 
 @_query("""SELECT source, substr(sha256(string_agg(DISTINCT lang || '==' || CAST(doc_id % 7 AS VARCHAR), chr(10) ORDER BY lang || '==' || CAST(doc_id % 7 AS VARCHAR))), 1, 12) AS fingerprint FROM documents GROUP BY 1""")
@@ -209,12 +210,13 @@ def fractional_ranks(spark, sf_dir):
     return ranking.fractional_rank(_t(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size", name="r").withColumn("r", F.col("r").cast("double"))
 
 
-@_query("""WITH r AS (SELECT p_partkey, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / CAST(2 AS DOUBLE) AS a, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / CAST(2 AS DOUBLE) AS b FROM part) SELECT round(corr(a, b), 6) AS rho FROM r""")
+@_query("""WITH r AS (SELECT s_suppkey, rank() OVER (ORDER BY s_nationkey) + (count(*) OVER (PARTITION BY s_nationkey) - 1) / CAST(2 AS DOUBLE) AS a, rank() OVER (ORDER BY s_acctbal) + (count(*) OVER (PARTITION BY s_acctbal) - 1) / CAST(2 AS DOUBLE) AS b FROM supplier), o AS (SELECT corr(a, b) AS rho FROM r),
+m AS (SELECT *, unnest(range(1, 100)) AS m FROM r), l AS (SELECT m, a, row_number() OVER (PARTITION BY m ORDER BY s_suppkey) AS i FROM m), x AS (SELECT m, b, row_number() OVER (PARTITION BY m ORDER BY md5('3:' || CAST(m AS VARCHAR) || ':' || CAST(s_suppkey AS VARCHAR)), s_suppkey) AS i FROM m), e AS (SELECT m, corr(a, b) AS r FROM l JOIN x USING (m, i) GROUP BY 1)
+SELECT round(rho, 6) AS rho, (1 + count(*) FILTER (WHERE abs(r) >= abs(rho) - 1e-12)) / CAST(100 AS DOUBLE) AS p FROM e, o GROUP BY rho""")
 def spearman(spark, sf_dir):
-    """ST7."""
-    parts = _t(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
-    both = ranking.fractional_rank(ranking.fractional_rank(parts, "p_size", name="a"), "p_retailprice", name="b")
-    return both.agg(F.round(F.corr("a", "b"), 6).alias("rho"))
+    """ST7: rank correlation with a permutation test."""
+    out = st.spearman(_t(spark, sf_dir, "supplier"), "s_suppkey", "s_nationkey", "s_acctbal", permutations=99, seed=3)
+    return out.select(F.round("rho", 6).alias("rho"), "p")
 
 
 @_query("""WITH p AS (SELECT user_id, 1.0::DOUBLE / (1 + count(*) FILTER (WHERE value > 50)) AS p FROM events GROUP BY 1), s AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p, user_id) + 1) * p AS step FROM p)
@@ -222,11 +224,7 @@ SELECT user_id, round(least(1.0, max(step) OVER (ORDER BY p, user_id ROWS UNBOUN
 def holm_adjust(spark, sf_dir):
     """WN8."""
     p = _t(spark, sf_dir, "events").groupBy("user_id").agg((1.0 / (1 + F.count_if(F.col("value") > 50))).alias("p"))
-    keyed = p.withColumn("o", F.struct("p", "user_id"))
-    w = ranking.Window.orderBy("o")
-    step = (F.count("*").over(ranking.Window.partitionBy()) - F.row_number().over(w) + 1) * F.col("p")
-    out = keyed.withColumn("step", step)
-    return out.select("user_id", F.round(F.least(F.lit(1.0), F.max("step").over(w.rowsBetween(ranking.Window.unboundedPreceding, 0))), 9).alias("p_holm"))
+    return ranking.holm(p, "p").select("user_id", F.round("p_holm", 9).alias("p_holm"))
 
 
 @_query("""SELECT p_partkey, round(10 - 1.5 * (p_size % 6) + 3 * (p_partkey % 3) + CAST(p_brand LIKE '%1' AS INTEGER) * 2 + greatest(0, 3 - 0.75 * (length(p_type) - length(replace(p_type, '.', '')))) + least(2, log2(p_size + 1) - 1) + 1 - 4 * CAST(p_size > 45 AS INTEGER), 6)::DOUBLE AS score FROM part ORDER BY score DESC, p_partkey""")
@@ -304,33 +302,85 @@ def wilson_by_lang(spark, sf_dir):
     return counts.select("lang", "n", "hits", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
 
 
-@_query("""SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS only_quality, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS only_toxic, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS both FROM labels""")
+_TAIL = "least(1.0, 2 * list_sum(list_transform(range(0, least(up, down) + 1), lambda i: exp(lgamma(up + down + 1) - lgamma(i + 1) - lgamma(up + down - i + 1) - (up + down) * ln(2)))))"
+
+
+@_query(f"""WITH c AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS up, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS down, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS two FROM labels)
+SELECT up AS only_quality, down AS only_toxic, two AS "both", round({_TAIL}, 9) AS p FROM c""")
 def mcnemar_counts(spark, sf_dir):
-    """ST5, JN14: the discordant pairs of a McNemar test."""
+    """ST5, JN14: the discordant pairs and McNemar's exact test."""
     q, t = F.col("quality") == 1, F.col("toxic") == 1
-    return _t(spark, sf_dir, "labels").agg(F.count_if(q & ~t).alias("only_quality"), F.count_if(~q & t).alias("only_toxic"), F.count_if(q & t).alias("both"))
+    counts = _t(spark, sf_dir, "labels").agg(F.count_if(q & ~t).alias("only_quality"), F.count_if(~q & t).alias("only_toxic"), F.count_if(q & t).alias("both"))
+    return counts.withColumn("p", F.round(st.sign_test("only_quality", "only_toxic"), 9))
 
 
-@_query()
+@_query(f"""WITH c AS (SELECT user_id, count(*) FILTER (WHERE value > 50) AS up, count(*) FILTER (WHERE value < 50) AS down FROM events GROUP BY 1)
+SELECT user_id, up, down, round({_TAIL}, 9) AS p FROM c""")
 def sign_test_by_user(spark, sf_dir):
     """ST2: exact sign tests of values above and below 50."""
     v = F.col("value")
     counts = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(v > 50).alias("up"), F.count_if(v < 50).alias("down"))
-    return counts.withColumn("p", st.sign_test("up", "down"))
+    return counts.withColumn("p", F.round(st.sign_test("up", "down"), 9))
+
+
+_WAYS = "lgamma(a + b + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) + lgamma(c + d + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1)"
+
+
+@_query(f"""WITH t AS (SELECT lang, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS a, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS b, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS c, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS d FROM labels JOIN documents USING (doc_id) GROUP BY 1),
+x AS (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS x FROM t), w AS (SELECT *, {_WAYS} AS w FROM x), o AS (SELECT *, max(w) FILTER (WHERE x = a) OVER (PARTITION BY lang) AS own FROM w)
+SELECT lang, a, b, c, d, round(least(1.0, sum(exp(w - own)) FILTER (WHERE w <= own + 1e-9) / sum(exp(w - own))), 7) AS p FROM o GROUP BY lang, a, b, c, d""")
+def fisher_by_lang(spark, sf_dir):
+    """ST8: quality against toxicity in each language."""
+    rows = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    cell = lambda q, t: F.count_if((F.col("quality") == q) & (F.col("toxic") == t))
+    table = rows.groupBy("lang").agg(cell(1, 1).alias("a"), cell(1, 0).alias("b"), cell(0, 1).alias("c"), cell(0, 0).alias("d"))
+    return table.withColumn("p", F.round(st.fisher("a", "b", "c", "d"), 7))
+
 
+_DRAWS = """c AS (SELECT lang, source, CAST(sum(quality - toxic) AS BIGINT) AS net, count(*) AS pairs FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY source) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM c),
+d AS (SELECT lang, i AS place, n, unnest(range(1, 501)) AS s FROM r), p AS (SELECT d.lang, d.n, d.s, r.net, r.pairs FROM d JOIN r ON r.lang = d.lang AND r.i = CAST('0x' || substr(md5('7:' || CAST(s AS VARCHAR) || ':' || CAST(place AS VARCHAR)), 1, 8) AS BIGINT) % d.n), e AS (SELECT lang, n, s, sum(net) / sum(pairs) AS v FROM p GROUP BY 1, 2, 3)"""
 
-@_query()
+
+@_query(f"""WITH {_DRAWS}, o AS (SELECT lang, sum(pairs)::BIGINT AS pairs, sum(net) / sum(pairs) AS rate FROM c GROUP BY 1)
+SELECT lang, pairs, round(rate, 9) AS rate, n AS clusters, round(CASE WHEN n > 1 THEN quantile_cont(v, 0.025) END, 9) AS low, round(CASE WHEN n > 1 THEN quantile_cont(v, 0.975) END, 9) AS high FROM e JOIN o USING (lang) GROUP BY lang, pairs, rate, n""")
 def cluster_bootstrap(spark, sf_dir):
-    """ST3: intervals of the toxic share by language, sources as clusters."""
+    """ST3: quality less toxicity by language, sources as clusters."""
     rows = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
-    return st.bootstrap_by(rows, ["lang"], "source", F.col("toxic") == 1, resamples=1000)
+    out = st.cluster_bootstrap(rows, ["lang"], "source", F.col("quality") - F.col("toxic"), resamples=500, seed=7)
+    return out.select("lang", "pairs", "clusters", *[F.round(c, 9).alias(c) for c in ("rate", "low", "high")])
+
+
+@_query("""WITH v AS (SELECT s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i, round(s_acctbal) - 4500 AS v FROM supplier WHERE s_suppkey <= 250), n AS (SELECT s_nationkey, count(*) AS n, sum(v) AS own FROM v GROUP BY 1), m AS (SELECT *, unnest(range(0, CAST(2 ** n AS BIGINT))) AS mask FROM n),
+f AS (SELECT m.s_nationkey, n, own, mask, sum(v * (1 - 2 * ((mask >> i) & 1))) AS s FROM m JOIN v USING (s_nationkey) GROUP BY 1, 2, 3, 4)
+SELECT s_nationkey, n, round(avg(CAST(abs(s) >= abs(own) AS INTEGER)), 9) AS p, round(avg(CAST(s >= own AS INTEGER)), 9) AS p_greater, round(avg(CAST(s <= own AS INTEGER)), 9) AS p_less FROM f GROUP BY 1, 2""".replace(" WHERE s_suppkey <= 250", ""))
+def sign_flip_by_nation(spark, sf_dir):
+    """ST6, ST11: exact tests that balances lie around 4500."""
+    out = st.sign_flip(_t(spark, sf_dir, "supplier"), ["s_nationkey"], F.round("s_acctbal") - 4500)
+    return out.select("s_nationkey", "n", *[F.round(c, 9).alias(c) for c in ("p", "p_greater", "p_less")])
+
+
+@_query("""SELECT l_returnflag, round(avg(ln(l_extendedprice)) FILTER (WHERE l_tax > 0.04) - avg(ln(l_extendedprice)) FILTER (WHERE l_tax <= 0.04), 9) AS gap,
+round(sqrt(var_samp(ln(l_extendedprice)) FILTER (WHERE l_tax > 0.04) / count(*) FILTER (WHERE l_tax > 0.04) + var_samp(ln(l_extendedprice)) FILTER (WHERE l_tax <= 0.04) / count(*) FILTER (WHERE l_tax <= 0.04)), 9) AS error FROM lineitem GROUP BY 1""")
+def welch_by_flag(spark, sf_dir):
+    """ST9: ratio of geometric means as a difference of logarithms, with Welch's error."""
+    out = st.welch(_t(spark, sf_dir, "lineitem"), ["l_returnflag"], F.ln("l_extendedprice"), F.col("l_tax") > 0.04)
+    return out.select("l_returnflag", F.round("gap", 9).alias("gap"), F.round("error", 9).alias("error"))
+
+
+@_query("""WITH v AS (SELECT s_nationkey, s_suppkey, CASE WHEN s_acctbal > 4500 THEN 1 ELSE 0 END AS v FROM supplier), r AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i, count(*) OVER (PARTITION BY s_nationkey) AS n FROM v),
+d AS (SELECT s_nationkey, i AS place, n, unnest(range(1, 201)) AS s FROM r), p AS (SELECT d.s_nationkey, s, avg(v) AS m FROM d JOIN r ON r.s_nationkey = d.s_nationkey AND r.i = CAST('0x' || substr(md5('0:' || CAST(s AS VARCHAR) || ':' || CAST(place AS VARCHAR)), 1, 8) AS BIGINT) % d.n GROUP BY 1, 2)
+SELECT s_nationkey, round(quantile_cont(m, 0.05), 9) AS low, round(quantile_cont(m, 0.95), 9) AS high, quantile_cont(m, 0.05) > -0.9 AND quantile_cont(m, 0.95) < 0.9 AS equivalent FROM p GROUP BY 1""")
+def equivalence_by_nation(spark, sf_dir):
+    """ST11: two one-sided tests by resampling."""
+    out = st.equivalent(_t(spark, sf_dir, "supplier"), ["s_nationkey"], (F.col("s_acctbal") > 4500).cast("int"), "s_suppkey", 0.9, resamples=200)
+    return out.select("s_nationkey", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "equivalent")
 
 
-@_query("""WITH s AS (SELECT p_partkey, p_name FROM part WHERE lower(p_name) = 'no such part'), l AS (SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1%') SELECT * FROM s UNION ALL SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM s)""")
+@_query("""WITH s AS (SELECT p_partkey, p_name FROM part WHERE lower(p_name) = 'no such part'), l AS (SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%widget%') SELECT * FROM s UNION ALL SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM s)""")
 def strict_loose_search(spark, sf_dir):
     """PF15: the loose search only when the strict one finds nothing."""
     parts = _t(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return matching.strict_or_loose(parts.where(F.lower("p_name") == "no such part"), parts.where(F.col("p_name").contains("1")))
+    return matching.strict_or_loose(parts.where(F.lower("p_name") == "no such part"), parts.where(F.col("p_name").contains("widget")))
 
 
 @_query("""SELECT o_orderkey, last_day(o_orderdate) AS month_end, make_date(CAST(year(o_orderdate) AS BIGINT), 12, 31) AS year_end, CAST(last_day(o_orderdate) - INTERVAL 30 DAY AS DATE) AS compared FROM orders""")
@@ -410,12 +460,12 @@ def alias_self_merge(spark, sf_dir):
     return matching.merge_aliases(parts, "path", "al", "n").select("path", "n")
 
 
-@_query("""WITH m AS (SELECT DISTINCT s_nationkey AS g, s_suppkey % 6 AS k, CAST(floor(s_acctbal / 2500) AS BIGINT) AS v FROM supplier), o AS (SELECT * FROM m WHERE k < 3), n AS (SELECT * FROM m WHERE k >= 3), z AS (SELECT g, k, count(*) AS n FROM o GROUP BY 1, 2),
+@_query("""WITH m AS (SELECT DISTINCT c_mktsegment AS g, c_nationkey AS k, CAST(floor(c_acctbal / 1500) AS BIGINT) AS v FROM customer), o AS (SELECT * FROM m WHERE k < 12), n AS (SELECT * FROM m WHERE k >= 20), z AS (SELECT g, k, count(*) AS n FROM o GROUP BY 1, 2),
 s AS (SELECT o.g, o.k, n.k AS other, count(*) AS kept FROM o JOIN n ON o.g = n.g AND o.v = n.v GROUP BY 1, 2, 3) SELECT s.g, s.k, other, kept, n FROM s JOIN z ON s.g = z.g AND s.k = z.k WHERE n >= 2 AND 5 * kept >= 4 * n QUALIFY count(*) OVER (PARTITION BY s.g, s.k) = 1""")
 def unique_containment_match(spark, sf_dir):
     """JN12: the only fresh key that holds 80 percent of a gone key's members."""
-    m = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("g"), (F.col("s_suppkey") % 6).alias("k"), F.floor(F.col("s_acctbal") / 2500).alias("v")).distinct()
-    return matching.unique_containment(m, m.where("k < 3"), m.where("k >= 3"), "k", "v", ["g"], least=2).select("g", "k", "other", "kept", "n")
+    m = _t(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("g"), F.col("c_nationkey").alias("k"), F.floor(F.col("c_acctbal") / 1500).alias("v")).distinct()
+    return matching.unique_containment(m, m.where("k < 12"), m.where("k >= 20"), "k", "v", ["g"], least=2).select("g", "k", "other", "kept", "n")
 
 
 @_query("""SELECT o_orderpriority, o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""")

@@ -1,25 +1,37 @@
-"""API objects and usage facts of Python sources, one row each."""
+"""API objects of Python sources, one row each."""
 
 from __future__ import annotations
 
 import ast
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-PARAM = "struct<name:string,kind:string,annotation:string,has_default:boolean>"
+from tidemark.operators.lineage import cut
+
+PARAM = "struct<name:string,kind:string,annotation:string,has_default:boolean,types:array<string>>"
+#: ``bases``, ``decorators`` and ``returns`` are dotted paths as the module's imports resolve them.
+#: ``binding`` is "sometimes" for names bound on some paths of a block only, "main" below a check of
+#: ``__name__``.  ``value`` says what an attribute holds: "data", "per_module" (a logger, a type
+#: variable), "name" (another name, in ``target``) or "other".  ``sets`` has the attributes that a
+#: class's methods name on ``self``; ``dynamic`` tells modules that bind names by ``globals()``.
 OBJECTS = (
     "package string, version string, path string, parent string, name string, kind string, target string, is_public boolean, "
-    f"signature string, doc string, deprecated string, params array<{PARAM}>, error string"
+    f"signature string, doc string, deprecated string, params array<{PARAM}>, overloads array<array<{PARAM}>>, bases array<string>, decorators array<string>, "
+    "returns array<string>, value string, binding string, listed boolean, is_property boolean, calls_super boolean, sets array<string>, dynamic boolean, error string"
 )
-FACTS = "file string, fact string, a string, b string, pos int"
 LIMIT = 400
+#: Calls whose results belong to each module, and annotations and forms that are plain data.
+PER_MODULE = frozenset(["getLogger", "get_logger", "TypeVar", "ParamSpec", "TypeVarTuple"])
+DATA = frozenset("int float complex str bytes bool None list dict set tuple frozenset bytearray Literal List Dict Set Tuple".split())
 
 
-def _params(args: ast.arguments) -> list[dict]:
+def _params(args: ast.arguments, types) -> list[dict]:
     def row(arg: ast.arg, kind: str, default) -> dict:
-        return {"name": arg.arg, "kind": kind, "annotation": ast.unparse(arg.annotation) if arg.annotation else None, "has_default": default is not None}
+        return {"name": arg.arg, "kind": kind, "annotation": ast.unparse(arg.annotation) if arg.annotation else None, "has_default": default is not None, "types": types(arg.annotation)}
 
     placed = [*((a, "positional_only") for a in args.posonlyargs), *((a, "positional_or_keyword") for a in args.args)]
     defaults = [None] * (len(placed) - len(args.defaults)) + list(args.defaults)
@@ -46,104 +58,259 @@ def _deprecation(node: ast.AST, doc: str | None) -> str | None:
     return None
 
 
-def _walk(module: str, is_package: bool, tree: ast.Module) -> Iterator[dict]:
-    def visit(body: list[ast.stmt], path: str, public: bool) -> Iterator[dict]:
+def dotted(node: ast.AST) -> str | None:
+    """"a.b.c" for names read with dots, else None."""
+    parts = []
+    while isinstance(node, ast.Attribute):
+        parts.append(node.attr)
+        node = node.value
+    return ".".join([node.id, *reversed(parts)]) if isinstance(node, ast.Name) else None
+
+
+class _Module:
+    """One module's names, and its objects as rows."""
+
+    def __init__(self, module: str, is_package: bool, tree: ast.Module):
+        self.module, self.tree = module, tree
+        self.names: dict[str, str] = {}
+        for node in ast.walk(tree):
+            if isinstance(node, ast.Import):
+                for a in node.names:
+                    top = a.name.split(".")[0]
+                    self.names[a.asname or top] = a.name if a.asname else top
+            elif isinstance(node, ast.ImportFrom):
+                base = self.source(node, is_package)
+                self.names.update({a.asname or a.name: f"{base}.{a.name}" for a in node.names if a.name != "*"})
+        for node in tree.body:
+            if isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
+                self.names[node.name] = f"{module}.{node.name}"
+        self.is_package = is_package
+        self.listed = self._listed()
+
+    def source(self, node: ast.ImportFrom, is_package: bool) -> str:
+        up = self.module.split(".")
+        if node.level:
+            up = up[: len(up) - node.level + is_package]
+        return ".".join([*(up if node.level else []), *([node.module] if node.module else [])])
+
+    def resolve(self, path: str | None) -> str | None:
+        if path is None:
+            return None
+        head, dot, rest = path.partition(".")
+        return self.names.get(head, head) + dot + rest
+
+    def _listed(self) -> set[str] | None:
+        """Names in ``__all__``, also those that are added to it; None without one."""
+        found: set[str] | None = None
+
+        def strings(node: ast.AST) -> set[str]:
+            return {n.value for n in ast.walk(node) if isinstance(n, ast.Constant) and isinstance(n.value, str)}
+
+        for node in ast.walk(self.tree):
+            named = [*getattr(node, "targets", []), getattr(node, "target", None)]
+            if isinstance(node, (ast.Assign, ast.AnnAssign, ast.AugAssign)) and any(isinstance(t, ast.Name) and t.id == "__all__" for t in named):
+                found = (found or set()) | (strings(node.value) if node.value else set())
+            elif isinstance(node, ast.Call) and dotted(node.func) in ("__all__.append", "__all__.extend"):
+                found = (found or set()) | set().union(*map(strings, node.args))
+        return found
+
+    def types(self, node: ast.AST | None) -> list[str] | None:
+        """The classes that an annotation names, alone or in a union; None for anything else."""
+        if isinstance(node, ast.Constant):
+            if node.value is None:
+                return []
+            try:
+                return self.types(ast.parse(node.value, mode="eval").body) if isinstance(node.value, str) else None
+            except (SyntaxError, ValueError):
+                return None
+        if isinstance(node, ast.BinOp) and isinstance(node.op, ast.BitOr):
+            sides = self.types(node.left), self.types(node.right)
+            return None if None in sides else sides[0] + sides[1]
+        if isinstance(node, ast.Subscript):
+            form = (dotted(node.value) or "").rpartition(".")[2]
+            if form in ("Optional", "Union"):
+                parts = [self.types(p) for p in (node.slice.elts if isinstance(node.slice, ast.Tuple) else [node.slice])]
+                return None if None in parts else sum(parts, [])
+            return None
+        path = dotted(node) if node is not None else None
+        if path is None or path.rpartition(".")[2] in DATA:
+            return None
+        return ["Self"] if path.rpartition(".")[2] == "Self" else [self.resolve(path)]
+
+    def value(self, node: ast.AST | None, annotation: ast.AST | None) -> tuple[str | None, str | None]:
+        """What an attribute holds, and the path it names."""
+        if isinstance(node, ast.Call):
+            called = dotted(node.func)
+            return ("per_module", None) if called and called.rpartition(".")[2] in PER_MODULE else ("other", None)
+        if isinstance(node, (ast.Constant, ast.List, ast.Dict, ast.Set, ast.Tuple, ast.JoinedStr)):
+            return "data", None
+        if isinstance(node, (ast.Name, ast.Attribute)):
+            return "name", self.resolve(dotted(node))
+        if node is None and annotation is not None:
+            head = annotation.value if isinstance(annotation, ast.Subscript) else annotation
+            return ("data" if (dotted(head) or "").rpartition(".")[2] in DATA else "other"), None
+        return "other", None
+
+    def rows(self) -> Iterator[dict]:
+        public = not any(p.startswith("_") for p in self.module.split("."))
+        dynamic = any(isinstance(n, ast.Call) and dotted(n.func) in ("globals", "vars", "setattr") for n in ast.walk(self.tree))
+        parent, _, name = self.module.rpartition(".")
+        yield {"path": self.module, "parent": parent or None, "name": name, "kind": "module", "is_public": public, "dynamic": dynamic, "signature": f"module {self.module}", "doc": _summary(ast.get_docstring(self.tree))}
+        yield from self.visit(self.tree.body, self.module, public, None, None)
+
+    def visit(self, body: list[ast.stmt], path: str, public: bool, binding: str | None, owner: ast.ClassDef | None) -> Iterator[dict]:
+        overloads: dict[str, list] = {}
+        done = Counter(n.name for n in body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)))
         for node in body:
             if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                doc = ast.get_docstring(node)
-                open_ = public and (not node.name.startswith("_") or node.name == "__init__")
-                is_class = isinstance(node, ast.ClassDef)
-                params = [] if is_class else _params(node.args)
-                shown = None if is_class else f"{node.name}({ast.unparse(node.args)})"[:LIMIT]
-                yield {
-                    "path": f"{path}.{node.name}", "parent": path, "name": node.name, "kind": "class" if is_class else "function", "is_public": open_, "signature": shown,
-                    "doc": (doc or "").split("\n\n")[0][:LIMIT] or None, "deprecated": _deprecation(node, doc), "params": params,
-                }
-                if is_class:
-                    yield from visit(node.body, f"{path}.{node.name}", open_)
+                decorators = [self.resolve(dotted(d.func if isinstance(d, ast.Call) else d)) or "" for d in node.decorator_list]
+                done[node.name] -= not isinstance(node, ast.ClassDef)
+                if any(d.rpartition(".")[2] == "overload" for d in decorators):
+                    overloads.setdefault(node.name, []).append(_params(node.args, self.types))
+                    if done[node.name] > 0:  # a stub's last overload stands for the function
+                        continue
+                if any(d.rpartition(".")[2] in ("setter", "deleter") for d in decorators):
+                    continue
+                yield from self.definition(node, path, public, binding, owner, decorators, overloads.get(node.name, []))
             elif isinstance(node, (ast.Assign, ast.AnnAssign)):
-                for target in node.targets if isinstance(node, ast.Assign) else [node.target]:
-                    if isinstance(target, ast.Name):
-                        yield {"path": f"{path}.{target.id}", "parent": path, "name": target.id, "kind": "attribute", "is_public": public and not target.id.startswith("_")}
-            elif isinstance(node, ast.ImportFrom) and path == module:
-                up = module.split(".")
-                if node.level:
-                    up = up[: len(up) - node.level + is_package]
-                base = ".".join([*(up if node.level else []), *([node.module] if node.module else [])])
-                for alias in node.names:
-                    name = alias.asname or alias.name
-                    yield {"path": f"{path}.{name}", "parent": path, "name": name, "kind": "alias", "target": f"{base}.{alias.name}", "is_public": public and not name.startswith("_")}
-            elif isinstance(node, (ast.If, ast.Try)):
-                yield from visit([*node.body, *node.orelse], path, public)
-
-    public = not any(p.startswith("_") for p in module.split("."))
-    yield {"path": module, "parent": module.rpartition(".")[0] or None, "name": module.rpartition(".")[2], "kind": "module", "is_public": public}
-    yield from visit(tree.body, module, public)
+                targets = node.targets if isinstance(node, ast.Assign) else [node.target]
+                kind, target = self.value(node.value, getattr(node, "annotation", None))
+                for t in [e for t in targets for e in (t.elts if isinstance(t, (ast.Tuple, ast.List)) else [t])]:
+                    if isinstance(t, ast.Name) and t.id != "__all__":
+                        yield self.named(path, t.id, public, binding, owner) | {"kind": "attribute", "value": kind, "target": target, "returns": self.types(getattr(node, "annotation", None))}
+            elif isinstance(node, ast.ImportFrom) and owner is None:
+                base = self.source(node, self.is_package)
+                for a in node.names:
+                    if a.name == "*":
+                        yield self.named(path, f"* {base}", False, binding, owner) | {"kind": "star", "target": base}
+                        continue
+                    row = self.named(path, a.asname or a.name, public, binding, owner)
+                    # an import is meant for others in a package, under its own name again, or if listed
+                    meant = self.is_package or a.asname == a.name or bool(row["listed"])
+                    yield row | {"kind": "alias", "target": f"{base}.{a.name}", "is_public": row["is_public"] and meant}
+            elif isinstance(node, ast.If):
+                test = ast.unparse(node.test)
+                inside = "main" if "__name__" in test else binding if "TYPE_CHECKING" in test else binding or "sometimes"
+                yield from self.visit(node.body, path, public, inside, owner)
+                yield from self.visit(node.orelse, path, public, binding or "sometimes", owner)
+            elif isinstance(node, ast.Try):
+                for part in (node.body, *(h.body for h in node.handlers), node.orelse, node.finalbody):
+                    yield from self.visit(part, path, public, binding or "sometimes", owner)
+
+    def named(self, path: str, name: str, public: bool, binding: str | None, owner: ast.ClassDef | None) -> dict:
+        listed = owner is None and self.listed is not None and name in self.listed
+        open_ = public and binding != "main" and (listed or not name.startswith("_") or name == "__init__")
+        return {"path": f"{path}.{name}", "parent": path, "name": name, "is_public": open_, "binding": binding, "listed": listed}
+
+    def definition(self, node, path: str, public: bool, binding: str | None, owner: ast.ClassDef | None, decorators: list[str], overloads: list) -> Iterator[dict]:
+        doc = ast.get_docstring(node)
+        row = self.named(path, node.name, public, binding, owner) | {"doc": _summary(doc), "deprecated": _deprecation(node, doc), "decorators": decorators, "overloads": overloads, "params": []}
+        own = row["path"]
+        if not isinstance(node, ast.ClassDef):
+            prefix = "property" if any(d.rpartition(".")[2].lower().endswith("property") for d in decorators) else None
+            supers = {n.func.attr for n in ast.walk(node) if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and isinstance(n.func.value, ast.Call) and dotted(n.func.value.func) == "super"}
+            yield row | {
+                "kind": "function", "signature": f"{node.name}({ast.unparse(node.args)})"[:LIMIT], "params": _params(node.args, self.types), "returns": self.types(node.returns),
+                "is_property": prefix is not None, "calls_super": node.name in supers,
+            }
+            return
+        on_self = {n.attr for n in ast.walk(node) if isinstance(n, ast.Attribute) and isinstance(n.value, ast.Name) and n.value.id == "self"}
+        bases = [self.resolve(dotted(b.value if isinstance(b, ast.Subscript) else b)) for b in node.bases]
+        yield row | {"kind": "class", "bases": [b for b in bases if b], "sets": sorted(on_self), "signature": f"class {node.name}"}
+        yield from self.visit(node.body, own, row["is_public"], None, node)
+        held = {n.name for n in node.body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))} | {t.id for n in node.body if isinstance(n, (ast.Assign, ast.AnnAssign)) for t in (n.targets if isinstance(n, ast.Assign) else [n.target]) if isinstance(t, ast.Name)}
+        for m in node.body:
+            if isinstance(m, ast.FunctionDef) and m.name == "__init__":
+                for n in ast.walk(m):
+                    for t in n.targets if isinstance(n, ast.Assign) else [n.target] if isinstance(n, ast.AnnAssign) else []:
+                        if isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name) and t.value.id == "self" and t.attr not in held:
+                            held.add(t.attr)
+                            kind, _ = self.value(n.value, getattr(n, "annotation", None))
+                            yield self.named(own, t.attr, row["is_public"], None, node) | {"kind": "attribute", "value": kind, "returns": self.types(getattr(n, "annotation", None))}
+
+
+def _summary(doc: str | None) -> str | None:
+    return (doc or "").split("\n\n")[0][:LIMIT] or None
+
+
+def module_of_file(path: str) -> tuple[str, bool]:
+    parts = path.removesuffix(".pyi").removesuffix(".py").split("/")
+    is_package = parts[-1] == "__init__"
+    return ".".join(parts[:-1] if is_package else parts), is_package
 
 
 def api_objects(sources: DataFrame) -> DataFrame:
     """``OBJECTS`` of ``sources`` (package, version, path, text); a path is a file within the
-    release.  A file that doesn't parse gives one row with ``error``; null texts are empty."""
+    release.  A file that doesn't parse gives one row with ``error``; null texts are empty.
+    Of a name that a file binds again the last binding counts, but for a function that follows
+    its overloads; a stub file (``.pyi``) counts before the module of the same name."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split(" ")[0] for c in OBJECTS.replace(PARAM, "x").split(", ")]
+        columns = [c.strip().split(" ")[0] for c in OBJECTS.replace(PARAM, "x").split(", ")]
         for batch in batches:
             found = []
             for package, version, path, text in batch[["package", "version", "path", "text"]].itertuples(index=False):
-                parts = path.removesuffix(".pyi").removesuffix(".py").split("/")
-                is_package = parts[-1] == "__init__"
-                module = ".".join(parts[:-1] if is_package else parts)
+                module, is_package = module_of_file(path)
                 both = {"package": package, "version": version}
                 try:
-                    found += [both | row for row in _walk(module, is_package, ast.parse(text or ""))]
+                    rows = {row["path"]: row for row in _Module(module, is_package, ast.parse(text or "")).rows()}
+                    found += [both | row for row in rows.values()]
                 except (SyntaxError, ValueError, RecursionError) as e:
                     found.append(both | {"path": module, "name": module, "kind": "module", "error": str(e)[:200]})
             yield pd.DataFrame([{c: row.get(c) for c in columns} for row in found], columns=columns)
 
-    return sources.select("package", "version", "path", "text").mapInPandas(run, OBJECTS)
+    stub = F.col("path").endswith(".pyi")
+    files = sources.select("package", "version", "path", "text", F.regexp_replace("path", r"\.pyi?$", "").alias("_m"))
+    first = files.where(stub).select("package", "version", "_m").distinct().withColumn("_stub", F.lit(True))
+    files = files.join(first, ["package", "version", "_m"], "left").where(stub | F.col("_stub").isNull())
+    return files.select("package", "version", "path", "text").mapInPandas(run, OBJECTS)
 
 
-def file_facts(sources: DataFrame) -> DataFrame:
-    """``FACTS`` of project files (path, text): imported paths, attribute names, calls and their keywords."""
+def expand_stars(objects: DataFrame, rounds: int = 5) -> DataFrame:
+    """``objects`` with an alias row for every public name that a star import brings, ``value`` "star".
 
-    def facts(file: str, text: str) -> Iterator[tuple]:
-        tree = ast.parse(text)
-        names: dict[str, str] = {}
-        for node in ast.walk(tree):
-            if isinstance(node, ast.Import):
-                for a in node.names:
-                    names[a.asname or a.name.split(".")[0]] = a.name if a.asname else a.name.split(".")[0]
-                    yield file, "path", a.name, None, node.lineno
-            elif isinstance(node, ast.ImportFrom) and node.module and not node.level:
-                for a in node.names:
-                    names[a.asname or a.name] = f"{node.module}.{a.name}"
-                    yield file, "path", f"{node.module}.{a.name}", None, node.lineno
-        for node in ast.walk(tree):
-            if isinstance(node, ast.Attribute):
-                yield file, "attribute", node.attr, None, node.lineno
-                chain = ast.unparse(node)
-                head = chain.split(".")[0]
-                if head in names and all(p.isidentifier() for p in chain.split(".")):
-                    yield file, "path", names[head] + chain[len(head) :], None, node.lineno
-            elif isinstance(node, ast.Call):
-                called = node.func.attr if isinstance(node.func, ast.Attribute) else getattr(node.func, "id", None)
-                if called:
-                    yield file, "call", called, None, node.lineno
-                    for k in node.keywords:
-                        if k.arg:
-                            yield file, "keyword", called, k.arg, node.lineno
+    Star imports of star imports are followed ``rounds`` times, which is the operator's bound.  Names
+    that the target only imports for itself, and names bound in the module itself, aren't added."""
+    objects = cut(objects)  # parsed once
+    stars = objects.where("kind = 'star'").select("package", "version", F.col("parent").alias("_into"), F.col("target").alias("_from"))
+    known = objects.where("kind <> 'star'")
+    columns = known.columns
+    if not stars.limit(1).count():
+        return known
+    for _ in range(rounds):
+        given = known.where("is_public and name not like '\\\\_%' and kind <> 'module'")
+        given = given.select("package", "version", F.col("parent").alias("_from"), "name", F.when(F.col("kind") == "alias", F.col("target")).otherwise(F.col("path")).alias("_to"))
+        into = F.concat_ws(".", "_into", "name")
+        fresh = stars.join(given, ["package", "version", "_from"]).select("package", "version", into.alias("path"), F.col("_into").alias("parent"), "name", F.col("_to").alias("target")).distinct()
+        fresh = fresh.join(known.select("package", "version", "path"), ["package", "version", "path"], "left_anti").dropDuplicates(["package", "version", "path"])
+        public = ~F.exists(F.split("parent", "[.]"), lambda p: p.startswith("_"))
+        fresh = cut(fresh.withColumns({"kind": F.lit("alias"), "value": F.lit("star"), "is_public": public}))
+        if not fresh.limit(1).count():
+            break
+        known = known.unionByName(fresh, allowMissingColumns=True).select(*columns)
+    return known
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for path, text in zip(batch["path"], batch["text"], strict=True):
-                try:
-                    found += dict.fromkeys(facts(path, text or ""))
-                except (SyntaxError, ValueError, RecursionError):
-                    continue
-            yield pd.DataFrame(found, columns=["file", "fact", "a", "b", "pos"]).astype({"pos": "Int32"})
 
-    return sources.select("path", "text").mapInPandas(run, FACTS)
+def public_paths(objects: DataFrame) -> DataFrame:
+    """(package, canonical, public): an object's own public path and those of its aliases.
+
+    Chains of aliases are followed by pointer doubling until no pointer changes; a cycle leads nowhere
+    and its links stay as they are."""
+    alias = objects.where("kind = 'alias' and is_public").select("package", F.col("path").alias("public"), F.col("target").alias("canonical"))
+    own = objects.where("kind not in ('alias', 'star') and is_public").select("package", F.col("path").alias("canonical"), F.col("path").alias("public"))
+    hops = objects.where("kind = 'alias' and path <> target").select("package", F.col("path").alias("canonical"), F.col("target").alias("next"))
+    hops = hops.dropDuplicates(["package", "canonical"])
+    hops = cut(hops)
+    links = hops.join(hops.select("package", F.col("canonical").alias("next")), ["package", "next"], "left_semi").count()
+    for _ in range(links.bit_length()):  # chains are no longer than the links that have a next one
+        further = hops.select("package", F.col("canonical").alias("next"), F.col("next").alias("_end"))
+        hops = cut(hops.join(further, ["package", "next"], "left").select("package", "canonical", F.coalesce("_end", "next").alias("next"), F.col("_end").isNotNull().alias("_moved")))
+        moved = hops.where("_moved").limit(1).count()
+        hops = hops.drop("_moved")
+        if not moved:
+            break
+    followed = alias.join(hops, ["package", "canonical"], "left").select("package", F.coalesce("next", "canonical").alias("canonical"), "public")
+    return own.unionByName(followed).distinct()
 
 
 def served_names(sources: DataFrame) -> DataFrame:
@@ -180,7 +347,7 @@ def served_names(sources: DataFrame) -> DataFrame:
         for batch in batches:
             found = []
             for package, version, path, text in batch[["package", "version", "path", "text"]].itertuples(index=False):
-                module = path.removesuffix(".pyi").removesuffix(".py").removesuffix("/__init__").replace("/", ".")
+                module, _ = module_of_file(path)
                 try:
                     found += [(package, version, module, *row) for row in served(ast.parse(text or ""))]
                 except (SyntaxError, ValueError, RecursionError):
@@ -188,3 +355,48 @@ def served_names(sources: DataFrame) -> DataFrame:
             yield pd.DataFrame(found, columns=["package", "version", "module", "name", "warns"]).astype({"warns": "boolean"})
 
     return sources.select("package", "version", "path", "text").mapInPandas(run, "package string, version string, module string, name string, warns boolean")
+
+
+def parameter_reads(sources: DataFrame) -> DataFrame:
+    """SF37: (package, version, function, key, callee, line): strings that a function looks up in a mapping
+    (``kwargs.pop("x")``, ``kwargs["x"]``, ``"x" in kwargs``), and the functions that it calls (key null).
+
+    ``changes.still_read`` joins a decorator to what it calls over these rows."""
+
+    def rows(module: _Module) -> Iterator[tuple]:
+        def inside(body, path: str) -> Iterator[tuple]:
+            for node in body:
+                if isinstance(node, ast.ClassDef):
+                    yield from inside(node.body, f"{path}.{node.name}")
+                elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                    own = f"{path}.{node.name}"
+                    for n in ast.walk(node):
+                        key = None
+                        if isinstance(n, ast.Call):
+                            called = dotted(n.func)
+                            if isinstance(n.func, ast.Attribute) and n.func.attr in ("get", "pop") and n.args:
+                                key = n.args[0]
+                            elif called:
+                                yield own, None, module.resolve(called), n.lineno
+                        elif isinstance(n, ast.Subscript):
+                            key = n.slice
+                        elif isinstance(n, ast.Compare) and any(isinstance(o, (ast.In, ast.NotIn)) for o in n.ops):
+                            key = n.left
+                        if isinstance(key, ast.Constant) and isinstance(key.value, str):
+                            yield own, key.value, None, n.lineno
+                    for d in node.decorator_list:
+                        yield own, None, module.resolve(dotted(d.func if isinstance(d, ast.Call) else d)), node.lineno
+
+        yield from inside(module.tree.body, module.module)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for package, version, path, text in batch[["package", "version", "path", "text"]].itertuples(index=False):
+                try:
+                    found += [(package, version, *r) for r in rows(_Module(*module_of_file(path), ast.parse(text or "")))]
+                except (SyntaxError, ValueError, RecursionError):
+                    continue
+            yield pd.DataFrame(found, columns=["package", "version", "function", "key", "callee", "line"]).astype({"line": "Int32"})
+
+    return sources.select("package", "version", "path", "text").mapInPandas(run, "package string, version string, function string, key string, callee string, line int")
