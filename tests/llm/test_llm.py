@@ -305,10 +305,10 @@ def test_open_pairs_of_mixed_buckets(spark):
     near = base.copy()
     near[::6] = r.integers(0, 1 << 30, 17)
     texts = {0: r.integers(0, 1 << 30, 100), 1: base, 2: near, 3: base[:70], 4: base[::-1].copy(), 5: base}
-    buckets = spark.createDataFrame([(7, i, len(w)) for i, w in texts.items()] + [(8, 3, 70)], "key long, node long, n int")
-    parities = spark.createDataFrame([(i, neardup.parity(w).tolist()) for i, w in texts.items()], "node long, parity array<long>")
+    buckets = spark.createDataFrame([(7, i, len(w), 6) for i, w in texts.items()] + [(8, 3, 70, 1)], "key long, node long, n int, times long")
+    held = spark.createDataFrame([(i, len(w), *neardup.parity(w).tolist()) for i, w in texts.items()], "node long, n int, " + ", ".join(f"p{i} long" for i in range(neardup.PARITY)))
     roots = spark.createDataFrame([(1, 1), (5, 1)], "node long, root long")
-    got = {tuple(x) for x in neardup._open_pairs(buckets, roots, parities, 0.8).collect()}
+    got = {tuple(x) for x in neardup._open_pairs(neardup._mixed(buckets, roots), held, 0.8).collect()}
     assert got == {(1, 2), (2, 5), (1, 4), (4, 5), (2, 4)}  # not 0 (other words), 3 (length) or 1 with 5 (one class)
 
 
@@ -361,15 +361,3 @@ def test_html_held_out_layouts_and_consistency(spark):
     assert got == {1: ("A & B\nOne two three\nFour < five.", 32), 2: ("", 0), 3: ("", 0), 4: ("", 0)}
 
 
-def test_pipeline_keeps_columns(spark, documents_dir, tmp_path):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{documents_dir}/documents.parquet")
-    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{documents_dir}/labels.parquet")
-    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_duplicates", "packing"]
-    df = docs
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        df = stage(spark, df, documents_dir)
-        assert df.columns == docs.columns
-    assert df.count() == 7
-    assert corpus_pipeline.run(spark, documents_dir).select("sequence_id").count() > 0
