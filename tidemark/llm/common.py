@@ -30,34 +30,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Rows of one key that one task takes; keys with more are split.
-HOT_ROWS = 20_000
-#: Frequent keys that are broadcast; a table of more is joined.
-BROADCAST_KEYS = 500_000
-
-
-def salted_join(many: DataFrame, few: DataFrame, key: str, hot_rows: int = HOT_ROWS, counted: DataFrame | None = None) -> DataFrame:
-    """The inner join of ``many`` and ``few`` on ``key``, with frequent keys of ``many`` split.
-
-    A key with more than ``hot_rows`` rows is dealt over as many parts as it needs, by a hash of
-    the row, and the rows of ``few`` with that key go to every part.  ``counted`` has the
-    keys of ``many`` where that is cheaper to count; counts are aggregated before they move.
-    """
-    times = (many if counted is None else counted).groupBy(key).agg(F.count("*").alias("_n"))
-    hot = checkpointed(times.where(F.col("_n") > hot_rows))
-    n_hot = hot.count()
-    if not n_hot:
-        return many.join(few, key)
-    if n_hot <= BROADCAST_KEYS:
-        hot = F.broadcast(hot)
-    parts = F.coalesce(F.ceil(F.col("_n") / hot_rows).cast("int"), F.lit(1))
-    columns = [c for c in many.columns if c != key]
-    mine = F.xxhash64(*columns) if columns else F.lit(0)
-    left = many.join(hot, key, "left").withColumn("_salt", F.pmod(mine, parts).cast("int")).drop("_n")
-    right = few.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_n")
-    return left.join(right, [key, "_salt"]).drop("_salt")
-
-
 def ranked(df: DataFrame, order: list, name: str = "_rank") -> tuple[DataFrame, int]:
     """``df`` with a gapless 0-based global rank by ``order``, and the number of rows.
 
