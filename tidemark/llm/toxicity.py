@@ -217,7 +217,6 @@ def _train(windows: Counter) -> tuple[dict[str, float], float, np.ndarray]:
             index[r, t, : len(own)], tags[r, t], real[r, t] = [at[f] for f in own], label, True
     before = np.hstack([first[:, None], tags[:, :-1]])
     start = np.where(first[:, None] == np.arange(2), 0.0, -50.0)
-    scale = times / max(1.0, times.sum() / 6000)  # the penalty is set for a few thousand windows
     theta = np.zeros(len(names) + 1 + 1 + 4)  # features, token, transitions
     theta[-5] = -2.0
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
@@ -243,14 +242,14 @@ def _train(windows: Counter) -> tuple[dict[str, float], float, np.ndarray]:
             p[:, t] = np.where(here, np.exp(ahead[:, t, 1] + back[:, 1] - total), 0.0)
             prior = ahead[:, t - 1] if t else start
             come = step[None] + back[:, None, :] + np.stack([np.zeros(n), score[:, t]], 1)[:, None, :]
-            pairs += (np.exp(np.minimum(prior[:, :, None] + come - total[:, None, None], 0.0)) * (here * scale)[:, None, None]).sum(0)
+            pairs += (np.exp(np.minimum(prior[:, :, None] + come - total[:, None, None], 0.0)) * (here * times)[:, None, None]).sum(0)
             back = np.where(here[:, None], np.logaddexp(come[:, :, 0], come[:, :, 1]), back)
-        gap = np.where(real, tags - p, 0.0) * scale[:, None]
+        gap = np.where(real, tags - p, 0.0) * times[:, None]
         slope = np.zeros_like(theta)
         slope[: len(names) + 1] = np.bincount(index.ravel(), np.repeat(gap.ravel(), width), len(names) + 1)
         slope[0] = 0.0
         slope[-5] = gap.sum()
-        seen = np.array([[((real & (before == i) & (tags == j)) * scale[:, None]).sum() for j in (0, 1)] for i in (0, 1)])
+        seen = np.array([[((real & (before == i) & (tags == j)) * times[:, None]).sum() for j in (0, 1)] for i in (0, 1)])
         slope[-4:] = (seen - pairs).ravel()
         slope -= 0.1 * theta
         mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
