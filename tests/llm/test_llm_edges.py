@@ -137,6 +137,21 @@ def test_alignment_of_very_long_texts():
     assert neardup.edit_distances([(a, b)], [40_000]) == [2000]
 
 
+def test_fine_parities_never_rule_out_a_link():
+    r = np.random.default_rng(6)
+    for n in (1, 40, 290, 310, 900, 5000, 20_000):
+        a = r.integers(0, 1 << 30, n)
+        for share in (0.0, 0.1, 0.2):
+            b = a.copy()
+            edits = int(share * n)
+            b[r.choice(n, edits, replace=False)] = r.integers(1 << 30, 1 << 31, edits)
+            b = b[: n - int(0.02 * n)] if share < 0.2 else b
+            most = edits + int(0.02 * n)
+            assert neardup.differing_bits(neardup.fine_parity(a), neardup.fine_parity(b)) <= 2 * most
+        other = r.integers(0, 1 << 30, n)
+        assert n < 40 or neardup.differing_bits(neardup.fine_parity(a), neardup.fine_parity(other)) > 0.4 * n
+
+
 def test_texts_that_share_most_of_a_passage_find_their_copies(spark):
     r = random.Random(31)
     word = lambda: "".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(3))
