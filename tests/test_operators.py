@@ -120,6 +120,15 @@ def test_exact_tests(spark):
     assert got == [(0.443905, 0.974789), (0.0, 0.521824), (0.478176, 1.0), (0.0, 1.0)]
 
 
+def test_resamples_are_not_broadcast(spark):
+    """Sizes are guessed without what explode adds, so a small table's draws would look small too."""
+    rows = spark.range(60).select((F.col("id") % 3).alias("k"), F.col("id").alias("row"), (F.col("id") % 7).cast("double").alias("v"))
+    drawn = st.resampled(rows, ["k"], "row", {"_sum": F.col("v"), "_n": F.lit(1)}, resamples=50)
+    plan = drawn._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert [tuple(r) for r in drawn.groupBy("k").agg(F.count("*"), F.min("_n"), F.max("_n")).orderBy("k").collect()] == [(k, 50, 20, 20) for k in range(3)]
+
+
 def test_permutation_tests_by_enumeration(spark):
     from itertools import combinations, product
 
