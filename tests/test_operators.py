@@ -149,6 +149,54 @@ def test_permutation_tests_by_enumeration(spark):
     assert st.label_permutation(spark.createDataFrame([(float(x), x > 5) for x in (1, 2, 3, 7, 8, 9)], "v double, l boolean"), [], F.col("v"), F.col("l")).first()["p"] == 0.1
 
 
+def test_sign_flips_of_many_values(spark):
+    """Thousands of values: by whole-number arithmetic, and by hand where the values are alike."""
+    from math import comb
+
+    rng = random.Random(5)
+    some = [rng.randrange(-5500, 5500) for _ in range(300)]
+    rows = [("some", float(v)) for v in some] + [("alike", 2.5)] * 1300 + [("alike", -2.5)] * 1200 + [("cents", v / 100) for v in some] + [("none", 0.0)]
+    got = {r["g"]: r for r in st.sign_flip(spark.createDataFrame(rows, "g string, v double"), ["g"], F.col("v")).collect()}
+    ways = 1  # a whole number that holds the count of each sum in 320 bits of its own
+    for v in some:
+        ways += ways << 320 * abs(v)
+    whole, own, total = ways.to_bytes(40 * (sum(map(abs, some)) + 1), "little"), sum(some), sum(map(abs, some))
+    counts = [int.from_bytes(whole[i : i + 40], "little") for i in range(0, len(whole), 40)]
+    for g in ("some", "cents"):
+        assert abs(got[g]["p_greater"] - sum(counts[(own + total) // 2 :]) / 2**300) < 1e-12
+        assert abs(got[g]["p_less"] - sum(counts[: (own + total) // 2 + 1]) / 2**300) < 1e-12
+        assert abs(got[g]["p"] - sum(c for i, c in enumerate(counts) if abs(2 * i - total) >= abs(own)) / 2**300) < 1e-12
+    tail = sum(comb(2500, i) for i in range(1300, 2501)) / 2**2500
+    assert got["alike"]["n"] == 2500 and abs(got["alike"]["p_greater"] - tail) < 1e-12 and abs(got["alike"]["p"] - 2 * tail) < 1e-12
+    assert tuple(got["none"])[1:] == (0, 1.0, 1.0, 1.0)
+
+
+def test_sign_flips_round_only_what_fits_no_grid():
+    import numpy as np
+
+    exact = np.array([1234.56, -5499.99, 0.01] * 8)
+    units, whole = st._units(exact)
+    assert whole and units.tolist() == [123456, -549999, 1] * 8
+    assert not st._units(np.array([1e6 / 3, -2e6 / 7]))[1] and abs(st._units(np.array([1e6 / 3, -2e6 / 7]))[0]).sum() <= st.GRID
+    ways = st._subset_sums(np.arange(1, 2001))  # by halves; the sums of all ways, their mean and their spread
+    at = np.arange(len(ways))
+    assert abs(ways.sum() - 1) < 1e-12 and abs((ways * at).sum() - 2001 * 500) < 1e-6
+    assert abs((ways * (at - 2001 * 500.0) ** 2).sum() / (2000 * 2001 * 4001 / 24) - 1) < 1e-9
+
+
+def test_sign_flip_query_counts_zeros_and_nulls_as_sql(spark, tmp_path):
+    import duckdb
+
+    from tidemark.plans import catalog
+
+    rows = [(i, i % 4 if i % 4 < 3 else None, None if i % 4 == 2 or i == 5 else 4500.0 if i < 6 else 1000.0 * i) for i in range(24)]
+    spark.createDataFrame(rows, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = [tuple(r) for r in catalog.QUERIES["sign_flip_by_nation"](spark, str(tmp_path)).collect()]
+    connection = duckdb.connect()
+    connection.sql(f"create view supplier as from '{tmp_path}/supplier.parquet/*.parquet'")
+    assert sorted(got) == sorted(connection.sql(catalog.ORACLE_SQL["sign_flip_by_nation"]).fetchall())
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("2025",), ("2024-02",), ("2025-03-04",), ("soon",)], "d string")
     assert [str(r[0]) for r in df.select(S.parse_cutoff(F.col("d"))).collect()] == ["2025-12-31", "2024-02-29", "2025-03-04", "None"]
