@@ -82,6 +82,14 @@ def votes(text):
     return words and [(a, b, 1 + (len(a) > 3) + (len(b) > 3)) for a, b in zip(words, [*words[1:], ""], strict=True)]
 
 
+def test_block_tables_are_not_broadcast(spark):
+    df = spark.range(0, 400).select("id", F.xxhash64("id").alias("f0"), F.xxhash64("id", "id").alias("f1"))
+    near = fingerprints.within_radius(df.where("id % 50 = 0"), df, 6)
+    plan = near._jdf.queryExecution().sparkPlan().toString()
+    tables = plan.index("explode") if "explode" in plan else plan.index("Generate")
+    assert "SortMergeJoin [key" in plan[:tables] and {r["query_id"] for r in near.collect()} == set(range(0, 400, 50))
+
+
 def test_fingerprints_match_plain_votes(spark):
     texts = ["spam spam " * 50 + "ham eggs", "spam spam ham eggs", "!!!", "??? ---", "今日は天気がいいので散歩に行きました", "今日は天気がいいので散歩へ行きました", "Ünï code Words here", ""]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")

@@ -84,7 +84,7 @@ def within_radius(queries: DataFrame, rows: DataFrame, radius: int, blocks: int
     32 bits wide, those that hold a differing bit number ``radius`` at most, so some choice
     of the others is equal; there is a table for each choice, keyed by its number and the
     blocks' bits.  Equal fingerprints count once on both sides: a group of copies costs one
-    row.  Keys of large groups of near copies are left to the adaptive skew join, which splits
+    row.  Neither side is broadcast.  Keys of large groups of near copies are left to the adaptive skew join, which splits
     both sides of them.  Rows without a fingerprint (null) take no part,
     queries that share one have the same results, and an empty table gives no rows.
     """
@@ -111,7 +111,8 @@ def within_radius(queries: DataFrame, rows: DataFrame, radius: int, blocks: int
 
     q = keyed(distinct(queries)).select("key", F.col("f0").alias("q0"), F.col("f1").alias("q1"))
     gap = distance(F.col("q0"), F.col("q1"), F.col("f0"), F.col("f1"))
-    near = q.join(keyed(distinct(rows)), "key").withColumn("distance", gap).where(F.col("distance") <= radius)
+    # sizes are guessed without what explode adds, 28 rows a query: a broadcast of them would fill the driver
+    near = q.join(keyed(distinct(rows)).hint("merge"), "key").withColumn("distance", gap).where(F.col("distance") <= radius)
     near = near.select("q0", "q1", "f0", "f1", "distance").distinct()
     asked = queries.select(F.col("id").alias("query_id"), F.col("f0").alias("q0"), F.col("f1").alias("q1"))
     return asked.join(near, ["q0", "q1"]).select("query_id", "f0", "f1", "distance")
