@@ -308,3 +308,29 @@ def test_a_cluster_without_a_shared_folder_is_refused():
 
     with pytest.raises(ValueError, match="checkpoint"):
         common.checkpointed(Frame())
+
+
+def passage_rows():
+    """A passage of all, words of two alone and one edit between these, and one text more."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(45):
+        own = [f"w{i}x{rng.randrange(10**6)}" for _ in range(40)]
+        rows += [(2 * i, " ".join(["passage of all"] * 5 + own)), (2 * i + 1, " ".join(["passage of all"] * 5 + own[:-1] + ["edited"]))]
+    return [*rows, (90, " ".join(["passage of all"] * 5 + [f"alone{k}" for k in range(40)]))]
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """All texts in one bucket, many more than are compared first: every link between any two is found."""
+    monkeypatch.setattr(neardup, "sketch", lambda words: np.array([7], np.int64))
+    nodes, documents = neardup.classes(spark.createDataFrame(passage_rows(), "doc_id long, text string"))
+    got = {r["id"]: r["class_id"] for r in documents.join(nodes, "same").collect()}
+    assert got == {i: i - i % 2 for i in range(91)}
+
+
+def test_pipeline_drops_copies_of_large_buckets(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(neardup, "sketch", lambda words: np.array([7], np.int64))
+    docs = spark.createDataFrame(passage_rows(), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == list(range(0, 91, 2))

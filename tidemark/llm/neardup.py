@@ -7,9 +7,9 @@ words *and* their order.  Nodes that share an entry form a bucket.  A bucket
 isn't expanded into pairs: each member is compared with one leader, first with the
 one that it shares most entries with.  In buckets of up to SMALL nodes that still hold
 several classes afterwards, the members of different classes are compared.  A larger bucket
-comes from a passage or words that many texts share: its members are compared with its leader
-alone, and similar ones meet in the buckets of their other entries, which have words of
-their own.  A comparison is an exact alignment of the two word
+comes from a passage or words that many texts share: its members are compared with its leader,
+similar ones meet in the buckets of their other entries, and the members that are of different
+classes even then are compared last, all with one another.  A comparison is an exact alignment of the two word
 sequences; links need an edit similarity of 0.8 or more.  Pairs that lengths or word
 parities rule out for certain are never aligned, and texts are fetched only for the
 others.  Classes are the connected components of the links.
@@ -32,7 +32,7 @@ K, ENTRIES, SIZE = 1, 40, 5
 #: Texts of up to so many words have further entries, with fewer words each: at a
 #: similarity of 0.8 too few common words are left for the entries of all texts.
 SHORT, SHORT_ENTRIES, SHORT_SIZE = 16, 16, 2
-#: Nodes of a bucket whose members are compared with one another, at most.
+#: Nodes of a bucket whose members are compared with one another before those of larger ones, at most.
 SMALL = 32
 SIMILARITY = 0.8
 PARITY = 16
@@ -338,9 +338,9 @@ def classes(df: DataFrame, id_column: str = "doc_id", least: float = SIMILARITY)
     Other columns are not read; an empty table gives no rows.
     Candidates come from hashing: two texts that share a portion j of their words
     in order miss each other with a probability near (1 - j^5)^40.  At a similarity
-    of 0.8 by replaced words j is 2/3, which makes 0.004.  Where a passage of many other
-    texts makes a portion f of both, entries that lie in it lead to its leader alone, and
-    the probability is near (1 - j^5 + f^5)^40.
+    of 0.8 by replaced words j is 2/3, which makes 0.004.  All that share an entry are
+    compared, however many do, unless they are in one class already: the pairs of a passage's
+    texts that lengths and parities rule out cost time, with the square of their number, but no row.
     """
 
     @F.pandas_udf("entries array<long>, parity array<long>")
@@ -377,14 +377,22 @@ def classes(df: DataFrame, id_column: str = "doc_id", least: float = SIMILARITY)
     links = _links(first, words, least)
     roots = components(links) if links.limit(1).count() else None
     # then with the other leaders, and members of small buckets with one another, where classes differ
-    mixed = _mixed(buckets, roots)
-    wanted = _open_pairs(mixed.where(F.col("times") <= SMALL), held, least).unionByName(pairs.select("a", "b"))
+    mixed = _mixed(buckets.where(F.col("times") <= SMALL), roots)
+    wanted = _open_pairs(mixed, held, least).unionByName(pairs.select("a", "b"))
     wanted = checkpointed(_apart_in(wanted.distinct(), roots))
-    if wanted.limit(1).count():
-        words = words.unionByName(words_of(ends(wanted).distinct().join(words.select("node"), "node", "left_anti")))
-        more = _links(wanted, words, least)
-        if more.limit(1).count():
-            roots = components(links.unionByName(more))
+    tried = wanted
+    for large in (False, True):
+        if large:  # and last all members of large buckets, where classes still differ
+            mixed = _mixed(buckets.where(F.col("times") > SMALL), roots)
+            if not mixed.limit(1).count():
+                break
+            wanted = checkpointed(_open_pairs(mixed, held, least).join(tried, ["a", "b"], "left_anti"))
+        if wanted.limit(1).count():
+            words = words.unionByName(words_of(ends(wanted).distinct().join(words.select("node"), "node", "left_anti")))
+            more = _links(wanted, words, least)
+            if more.limit(1).count():
+                links = links.unionByName(more)
+                roots = components(links)
 
     named = nodes.select("same", "rep", "node")
     if roots is not None:
