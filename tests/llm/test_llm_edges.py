@@ -334,3 +334,21 @@ def test_pipeline_drops_copies_of_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(neardup, "sketch", lambda words: np.array([7], np.int64))
     docs = spark.createDataFrame(passage_rows(), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == list(range(0, 91, 2))
+
+
+def test_large_buckets_make_no_pairs(spark, monkeypatch):
+    """The same words in 120 orders, which parities can't tell apart, in one bucket: their pairs are no rows,
+    and links between any two blocks are found."""
+    rng, asked, links = random.Random(5), [], neardup._links
+    words = [f"w{i}" for i in range(60)]
+    texts = [rng.sample(words, 60) for _ in range(120)]
+    for i in range(1, 120, 2):  # a few of the last words of the text before in another order
+        texts[i] = texts[i - 1][:55] + texts[i - 1][:-6:-1]
+    monkeypatch.setattr(neardup, "sketch", lambda words: np.array([7], np.int64))
+    monkeypatch.setattr(neardup, "_links", lambda pairs, *more: (asked.append(pairs.count()), links(pairs, *more))[1])
+    for size in (256, 16):
+        monkeypatch.setattr(neardup, "BLOCK", size, raising=False)
+        nodes, documents = neardup.classes(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+        got = {r["id"]: r["class_id"] for r in documents.join(nodes, "same").collect()}
+        assert got == {i: i - i % 2 for i in range(120)} and sum(asked) < 3 * 120
+        asked.clear()

@@ -9,7 +9,8 @@ one that it shares most entries with.  In buckets of up to SMALL nodes that stil
 several classes afterwards, the members of different classes are compared.  A larger bucket
 comes from a passage or words that many texts share: its members are compared with its leader,
 similar ones meet in the buckets of their other entries, and the members that are of different
-classes even then are compared last, all with one another.  A comparison is an exact alignment of the two word
+classes even then are compared last, all with one another, in blocks that return no pairs but
+one link for two classes that they find to be one.  A comparison is an exact alignment of the two word
 sequences; links need an edit similarity of 0.8 or more.  Pairs that lengths or word
 parities rule out for certain are never aligned, and texts are fetched only for the
 others.  Classes are the connected components of the links.
@@ -34,8 +35,12 @@ K, ENTRIES, SIZE = 1, 40, 5
 SHORT, SHORT_ENTRIES, SHORT_SIZE = 16, 16, 2
 #: Nodes of a bucket whose members are compared with one another before those of larger ones, at most.
 SMALL = 32
+#: Nodes of a block, about: two blocks of a larger bucket are compared by one task.
+BLOCK = 256
 SIMILARITY = 0.8
 PARITY = 16
+#: Numbers that tell how often the words of a text occur, by a hash of the word.
+COUNTS = 1024
 #: Nodes whose texts are fetched through a broadcast of their hashes; more are fetched by a join.
 BROADCAST_NODES = 500_000
 
@@ -185,6 +190,16 @@ def similar(pairs: list[tuple[np.ndarray, np.ndarray]], least: float = SIMILARIT
     return [d <= t for d, t in zip(edit_distances(pairs, most), most, strict=True)]
 
 
+def word_counts(words: np.ndarray) -> np.ndarray:
+    """``COUNTS`` numbers of words, by a hash of the word.
+
+    An edit takes one word at most and adds one at most, so texts can't be linked where one has more
+    words beyond the other's, number by number, than edits are allowed.  Tells texts of few distinct
+    words apart, whose parities differ in few bits."""
+    at = _mix(np.asarray(words).astype(np.int64).astype(np.uint64) + _P) % np.uint64(COUNTS)
+    return np.bincount(at.astype(np.int64), minlength=COUNTS)
+
+
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
@@ -298,6 +313,103 @@ def _open_pairs(mixed: DataFrame, held: DataFrame, least: float) -> DataFrame:
     return x.join(y, open_).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def _block_rows(mixed: DataFrame, held: DataFrame) -> DataFrame:
+    """(meeting, block, node, n, root, keys, parity): the members of the buckets, once for each ``meeting``,
+    the array of a bucket's key and two of its blocks, which one task compares.
+
+    A bucket's first blocks hold the members outside its largest class, the others that class, whose
+    blocks don't meet one another; ``keys`` are all buckets of the node.  As an array, a meeting isn't
+    dealt by the bucket's key alone."""
+    outside = F.count_if(~F.col("in_main"))
+    sizes = mixed.groupBy("key").agg(F.ceil(outside / BLOCK).alias("first"), F.ceil(F.count_if("in_main") / BLOCK).alias("rest"))
+    known = mixed.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    parity = held.select("node", F.array(*_bits("p")).alias("parity"))
+    rows = mixed.select("key", "node", "n", "root", "in_main").join(known, "node").join(parity, "node").join(sizes, "key")
+    number = lambda of: F.pmod(F.xxhash64("node"), F.col(of))
+    rows = rows.withColumn("block", F.when(F.col("in_main"), F.col("first") + number("rest")).otherwise(number("first")))
+    last = F.when(F.col("in_main"), F.col("first")).otherwise(F.col("first") + F.col("rest")) - 1
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    meeting = F.array("key", F.least("block", "_other"), F.greatest("block", "_other")).alias("meeting")
+    return rows.select(meeting, "block", "node", "n", "root", "keys", "parity")
+
+
+def _block_pairs(key: int, x: pd.DataFrame, y: pd.DataFrame, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of ``x`` and the rows of ``y`` that it may be linked with: of other classes, in no bucket together
+    that has a smaller key, where they meet too, and not ruled out by lengths or parities.
+
+    Of one block, ``x`` and ``y`` being the same, every pair comes once."""
+    n, root, bits = y["n"].to_numpy(), y["root"].to_numpy(), np.stack(y["parity"].to_numpy()).view(np.uint64)
+    before = [k[k < key] for k in map(np.asarray, y["keys"])]
+    earlier = np.full((len(y), max(map(len, before)) + 1), key)
+    for row, k in zip(earlier, before, strict=True):
+        row[: len(k)] = k
+    for i, (size, own, keys, parity_) in enumerate(zip(x["n"], x["root"], x["keys"], x["parity"], strict=True)):
+        at = np.arange(i + 1 if x is y else 0, len(y))
+        longer = np.maximum(n[at], size)
+        at = at[(root[at] != own) & (np.minimum(n[at], size) + 1e-9 >= least * longer)]
+        keys = np.asarray(keys)
+        at = at[~np.isin(earlier[at], keys[keys < key]).any(axis=1)]
+        most = np.floor((1 - least) * np.maximum(n[at], size) + 1e-9)
+        yield i, at[np.bitwise_count(bits[at] ^ np.asarray(parity_).view(np.uint64)).sum(axis=1) <= 2 * most]
+
+
+def _sides(part: pd.DataFrame) -> tuple[int, pd.DataFrame, pd.DataFrame]:
+    """The key and the two blocks of a meeting."""
+    key, low, high = part["meeting"].iloc[0]
+    x = part[part["block"] == low].reset_index(drop=True)
+    return key, x, x if low == high else part[part["block"] == high].reset_index(drop=True)
+
+
+def _block_open(rows: DataFrame, least: float) -> DataFrame:
+    """The rows of ``_block_rows`` that may be linked with another of their two blocks, written."""
+
+    def open_(part: pd.DataFrame) -> pd.DataFrame:
+        key, x, y = _sides(part)
+        found: set[int] = set()
+        if len(x) and len(y):
+            for i, partners in _block_pairs(key, x, y, least):
+                if len(partners):
+                    found.add(x["node"][i])
+                    found.update(y["node"].to_numpy()[partners])
+        return part[part["node"].isin(found)]
+
+    return checkpointed(rows.groupBy("meeting").applyInPandas(open_, rows.schema))
+
+
+def _block_links(rows: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """(a, b): of the classes between which the rows of ``_block_rows`` have links, links that join them, written.
+
+    Two blocks give fewer links than they have classes: what joins classes that are joined already isn't
+    aligned."""
+
+    def joined(part: pd.DataFrame) -> pd.DataFrame:
+        key, x, y = _sides(part)
+        links: list[tuple[int, int]] = []
+        up: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while c in up:
+                c = up[c]
+            return c
+
+        if len(x) and len(y):
+            counts = np.stack([word_counts(w) for w in y["w"]])
+            for i, partners in _block_pairs(key, x, y, least):
+                if not len(partners):
+                    continue
+                more = counts[partners] - word_counts(x["w"][i])
+                most = np.floor((1 - least) * np.maximum(y["n"].to_numpy()[partners], x["n"][i]) + 1e-9)
+                partners = partners[np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1)) <= most]
+                for j in partners.tolist():
+                    c, d = top(x["root"][i]), top(y["root"][j])
+                    if c != d and similar([(x["w"][i], y["w"][j])], least)[0]:
+                        up[max(c, d)] = min(c, d)
+                        links.append((x["node"][i], y["node"][j]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+    return checkpointed(rows.join(words, "node").groupBy("meeting").applyInPandas(joined, "a long, b long"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node of the component, for nodes with a link.
 
@@ -340,7 +452,7 @@ def classes(df: DataFrame, id_column: str = "doc_id", least: float = SIMILARITY)
     in order miss each other with a probability near (1 - j^5)^40.  At a similarity
     of 0.8 by replaced words j is 2/3, which makes 0.004.  All that share an entry are
     compared, however many do, unless they are in one class already: the pairs of a passage's
-    texts that lengths and parities rule out cost time, with the square of their number, but no row.
+    texts cost time, with the square of their number, but no row.
     """
 
     @F.pandas_udf("entries array<long>, parity array<long>")
@@ -380,19 +492,21 @@ def classes(df: DataFrame, id_column: str = "doc_id", least: float = SIMILARITY)
     mixed = _mixed(buckets.where(F.col("times") <= SMALL), roots)
     wanted = _open_pairs(mixed, held, least).unionByName(pairs.select("a", "b"))
     wanted = checkpointed(_apart_in(wanted.distinct(), roots))
-    tried = wanted
-    for large in (False, True):
-        if large:  # and last all members of large buckets, where classes still differ
-            mixed = _mixed(buckets.where(F.col("times") > SMALL), roots)
-            if not mixed.limit(1).count():
-                break
-            wanted = checkpointed(_open_pairs(mixed, held, least).join(tried, ["a", "b"], "left_anti"))
-        if wanted.limit(1).count():
-            words = words.unionByName(words_of(ends(wanted).distinct().join(words.select("node"), "node", "left_anti")))
-            more = _links(wanted, words, least)
+    fetched = lambda found: words.unionByName(words_of(found.distinct().join(words.select("node"), "node", "left_anti")))
+    if wanted.limit(1).count():
+        words = fetched(ends(wanted))
+        more = _links(wanted, words, least)
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            roots = components(links)
+    # and last all members of large buckets, where classes still differ
+    mixed = _mixed(buckets.where(F.col("times") > SMALL), roots)
+    if mixed.limit(1).count():
+        left = _block_open(_block_rows(mixed, held), least)
+        if left.limit(1).count():
+            more = _block_links(left, fetched(left.select("node")), least)
             if more.limit(1).count():
-                links = links.unionByName(more)
-                roots = components(links)
+                roots = components(links.unionByName(more))
 
     named = nodes.select("same", "rep", "node")
     if roots is not None:
