@@ -352,3 +352,18 @@ def test_large_buckets_make_no_pairs(spark, monkeypatch):
         got = {r["id"]: r["class_id"] for r in documents.join(nodes, "same").collect()}
         assert got == {i: i - i % 2 for i in range(120)} and sum(asked) < 3 * 120
         asked.clear()
+
+
+def test_few_links_take_few_jobs_and_many_the_same_components(spark, monkeypatch):
+    rng, written, checkpointed = random.Random(3), [], neardup.checkpointed
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 410)]
+    want = {x: x for link in links for x in link}
+    for _ in want:
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    monkeypatch.setattr(neardup, "checkpointed", lambda df: (written.append(1), checkpointed(df))[1])
+    old, new = (spark.createDataFrame(x, "a long, b long") for x in (links[::2], links[1::2]))
+    assert {tuple(r) for r in neardup.components(old.union(new)).collect()} == set(want.items()) and len(written) <= 2
+    assert {tuple(r) for r in neardup._joined(neardup.components(old), new).collect()} == set(want.items())
+    monkeypatch.setattr(neardup, "FEW_LINKS", 60)
+    assert {tuple(r) for r in neardup.components(old.union(new)).collect()} == set(want.items())

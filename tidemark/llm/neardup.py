@@ -39,6 +39,8 @@ SMALL = 32
 BLOCK = 256
 SIMILARITY = 0.8
 PARITY = 16
+#: Links that one task follows to their end; more are contracted by joins until no more are left.
+FEW_LINKS = 100_000
 #: Numbers that tell how often the words of a text occur, by a hash of the word.
 COUNTS = 1024
 #: Nodes whose texts are fetched through a broadcast of their hashes; more are fetched by a join.
@@ -410,34 +412,68 @@ def _block_links(rows: DataFrame, words: DataFrame, least: float) -> DataFrame:
     return checkpointed(rows.join(words, "node").groupBy("meeting").applyInPandas(joined, "a long, b long"))
 
 
+def _followed(links: DataFrame) -> DataFrame:
+    """(node, root) of few links, in one task."""
+
+    def roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        up: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while up.setdefault(c, c) != c:
+                up[c] = up[up[c]]
+                c = up[c]
+            return c
+
+        for batch in batches:
+            for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+                x, y = top(a), top(b)
+                up[max(x, y)] = min(x, y)
+        yield pd.DataFrame({"node": list(up), "root": [top(c) for c in list(up)]}, dtype=np.int64)
+
+    return checkpointed(links.select("a", "b").coalesce(1).mapInPandas(roots, "node long, root long"))
+
+
+def _moved(roots: DataFrame, top: DataFrame) -> DataFrame:
+    """``roots`` with each root that is a node of ``top`` replaced by its root there."""
+    moved = top.select(F.col("node").alias("root"), F.col("root").alias("_top"))
+    return roots.join(moved, "root", "left").select("node", F.coalesce("_top", "root").alias("root"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node of the component, for nodes with a link.
 
-    Every round points each node at its smallest neighbour or itself, follows the
-    pointer once more, and contracts the links to what is pointed at; links inside a
+    As long as there are many links, every round points each node at its smallest neighbour or itself,
+    follows the pointer once more, and contracts the links to what is pointed at; links inside a
     contracted node go.  The smallest node of a component points at itself throughout,
-    and the links shrink every round until none is left.  Joins stand apart from
+    and the links shrink every round.  Few links are followed by one task, as each round is many jobs,
+    of which the driver keeps a record.  Joins stand apart from
     aggregations, so the adaptive join splits nodes with very many links."""
     links = checkpointed(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     roots = None
-    while True:
+    while links.count() > FEW_LINKS:
         ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         point = ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("up"))
         point = checkpointed(point)
-        upper = point.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        point = checkpointed(point.join(upper, "up").select("node", "top"))
-        if roots is None:
-            roots = point.withColumnRenamed("top", "root")
-        else:
-            moved = point.withColumnRenamed("node", "root")
-            roots = checkpointed(roots.join(moved, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
-        low = point.select(F.col("node").alias("a"), F.col("top").alias("x"))
-        high = point.select(F.col("node").alias("b"), F.col("top").alias("y"))
+        upper = point.select(F.col("node").alias("up"), F.col("up").alias("root"))
+        point = checkpointed(point.join(upper, "up").select("node", "root"))
+        roots = point if roots is None else checkpointed(_moved(roots, point))
+        low = point.select(F.col("node").alias("a"), F.col("root").alias("x"))
+        high = point.select(F.col("node").alias("b"), F.col("root").alias("y"))
         apart = links.join(low, "a").join(high, "b").where("x <> y")
         links = checkpointed(apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-        if not links.limit(1).count():
-            return roots
         links = checkpointed(links.distinct())
+    top = _followed(links)
+    return top if roots is None else checkpointed(_moved(roots, top))
+
+
+def _joined(roots: DataFrame | None, more: DataFrame) -> DataFrame:
+    """``roots`` with the classes joined that the links ``more`` hold together."""
+    if roots is None:
+        return components(more)
+    ends = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("_ra")), "a", "left")
+    ends = ends.join(roots.select(F.col("node").alias("b"), F.col("root").alias("_rb")), "b", "left")
+    top = components(ends.select(F.coalesce("_ra", "a").alias("a"), F.coalesce("_rb", "b").alias("b")))
+    return checkpointed(_moved(roots, top).unionByName(top.join(roots.select("node"), "node", "left_anti")))
 
 
 def classes(df: DataFrame, id_column: str = "doc_id", least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -497,8 +533,7 @@ def classes(df: DataFrame, id_column: str = "doc_id", least: float = SIMILARITY)
         words = fetched(ends(wanted))
         more = _links(wanted, words, least)
         if more.limit(1).count():
-            links = links.unionByName(more)
-            roots = components(links)
+            roots = _joined(roots, more)
     # and last all members of large buckets, where classes still differ
     mixed = _mixed(buckets.where(F.col("times") > SMALL), roots)
     if mixed.limit(1).count():
@@ -506,7 +541,7 @@ def classes(df: DataFrame, id_column: str = "doc_id", least: float = SIMILARITY)
         if left.limit(1).count():
             more = _block_links(left, fetched(left.select("node")), least)
             if more.limit(1).count():
-                roots = components(links.unionByName(more))
+                roots = _joined(roots, more)
 
     named = nodes.select("same", "rep", "node")
     if roots is not None:
